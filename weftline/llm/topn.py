@@ -79,8 +79,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, run_rows: in
     rows = rows.withColumn("s", F.col("s") + F.lit(0.0))
     left = rows.mapInArrow(_bounded_runs(n, run_rows), "g long, i long, s double, bound double")
     left = left.repartition("g")
-    bounds = left.groupBy("g").agg(F.max("bound").alias("b"))
-    kept = left.join(bounds, "g").filter("b IS NULL OR s >= b")
+    kept = left.withColumn("b", F.max("bound").over(Window.partitionBy("g"))).filter("b IS NULL OR s >= b")
     pairs = kept.groupBy("g", "i").agg(F.max("s").alias("s"))
     w = Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i"))
     ranked = pairs.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= n)
