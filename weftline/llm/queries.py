@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import topn
+from weftline.llm import spans, topn
 from weftline.sources.tables import table
 
 
@@ -16,7 +16,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top8(spark, d).select("eid", "cid")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_top8)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_span_pairs(table(spark, d, "documents"))
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_top8, p8_found, p8_shared)}
 
 _TOP8 = """WITH best AS (SELECT eid, cid, max(bscore) AS bscore FROM train_scored WHERE bscore IS NOT NULL AND NOT isnan(bscore) GROUP BY eid, cid),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS INTEGER) AS rk FROM best)"""
