@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import spans, topn
+from weftline.llm import mix, pack, spans, topn
 from weftline.sources.tables import table
 
 
@@ -16,6 +16,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top8(spark, d).select("eid", "cid")
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack.report(p6_pack(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_span_pairs(table(spark, d, "documents"))
 
@@ -24,7 +40,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_top8, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_top8, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
 
 _TOP8 = """WITH best AS (SELECT eid, cid, max(bscore) AS bscore FROM train_scored WHERE bscore IS NOT NULL AND NOT isnan(bscore) GROUP BY eid, cid),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS INTEGER) AS rk FROM best)"""
