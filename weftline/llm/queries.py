@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mix, pack, spans, topn
+from weftline.llm import match, mix, pack, spans, topn
 from weftline.sources.tables import table
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    one, two, three = (table(spark, d, t) for t in ("train_s1", "train_s2", "train_s3"))
+    return match.match(one, [two, three])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("eid", "cid")
+
+
 def p3_top8(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "train_scored"), "eid", "cid", "bscore", 8)
 
@@ -40,7 +49,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_top8, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_top8, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
 
 _TOP8 = """WITH best AS (SELECT eid, cid, max(bscore) AS bscore FROM train_scored WHERE bscore IS NOT NULL AND NOT isnan(bscore) GROUP BY eid, cid),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS INTEGER) AS rk FROM best)"""
