@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import match, mix, names, pack, spans, topn
+from weftline.llm import match, mix, names, pack, places, spans, topn
 from weftline.sources.tables import table
 
 
@@ -33,6 +33,14 @@ def p4_organisations(spark: SparkSession, d: str) -> DataFrame:
     return names.organisations(table(spark, d, "test_s2"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.same_location(table(spark, d, "test_s3"))
+
+
+def p5_locations(spark: SparkSession, d: str) -> DataFrame:
+    return places.locations(table(spark, d, "test_s3"))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
 
@@ -57,7 +65,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_top8, p4_found, p4_organisations, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_top8, p4_found, p4_organisations, p5_found, p5_locations, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
 
 _TOP8 = """WITH best AS (SELECT eid, cid, max(bscore) AS bscore FROM train_scored WHERE bscore IS NOT NULL AND NOT isnan(bscore) GROUP BY eid, cid),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS INTEGER) AS rk FROM best)"""
