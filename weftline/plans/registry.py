@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import skew
+from weftline.plans import linkage, skew
 
-FLAGSHIP = "p2_found"
-_MODULES = (skew,)
+FLAGSHIP = "er_match_lists"
+_MODULES = (skew, linkage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
