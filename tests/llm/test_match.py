@@ -77,7 +77,7 @@ def test_windows_against_all_pairs(spark, parts):
     one, other = made(parts, 150)
     got = run(spark, one, other, parts=parts, run_rows=97)
     rows = one + other
-    rec = match.Records(*[[r[k] for r in rows] for k in (1, 2, 3, 4)], {"foods", "tools"}, {"st"})
+    rec = match.Records(*[[r[k] for r in rows] for k in (1, 2, 3, 4)], match.common_digests({"foods", "tools"}), match.common_digests({"st"}))
     best = {}
     for j in range(len(one), len(rows)):
         conf = rec.confidence(np.arange(len(one)), np.full(len(one), j))
@@ -108,3 +108,16 @@ def test_numbers():
 def test_bones():
     assert match.bones("zanzarsurrul") == match.bones("sansarsurul")
     assert all(a == b for a, b in itertools.pairwise([match.bones("philip"), match.bones("filip")]))
+
+
+def test_words():
+    w = match.Words(["ab  12 c", "", " 7", "x" * 80])
+    assert w.word_row.tolist() == [0, 0, 0, 2, 3] and w.size.tolist() == [2, 2, 1, 1, 80]
+    d = match.Words(["12", "c", "ab"]).digests()
+    assert w.digests()[[1, 2, 0]].tolist() == d.tolist()
+    u = match.Words(["12 345 67890", "", "7"])
+    assert u.numbers(u.size < 5, 3).tolist() == [[12, 345, -1], [-1, -1, -1], [7, -1, -1]]
+    assert u.numbers(u.size >= 5, 2).tolist() == [[67890, -1], [-1, -1], [-1, -1]]
+    rare = match.Words(["alpha foods", "foods"]).rare_sketch(match.common_digests({"foods"}))
+    assert (rare == match.Words(["alpha", "foods"]).sketch()).all()
+    assert match.Words([]).n == 0

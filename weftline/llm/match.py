@@ -19,7 +19,7 @@ name take no part. Repeated rows of a record count once. Confidence is in [0, 1]
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +39,7 @@ COMMON_SHARE = 0.002
 LEAST = 0.5
 #: Rows that are compared at once in a task.
 RUN_ROWS = 20_000
+SAMPLE_ROWS = 60
 
 #: Labels of one country.
 COUNTRY_LABELS = {"us": "us", "usa": "us", "united states": "us", "in": "in", "india": "in", "bharat": "in", "fr": "fr", "france": "fr", "ca": "ca", "canada": "ca"}
@@ -82,38 +83,105 @@ def sort_keys(name: list[str], common: set[str], words: list[str], common_words:
     at = sorted((w for w in words if w not in common_words and len(w) > 2), key=lambda w: (-len(w), w))
     number = ".".join(sorted(house, key=lambda x: (-len(x), x)))
     place = bones(at[0]) if at else ""
+    # composite keys of shortened fields, as the method has them; the texts themselves are compared whole
+    back, number = first[::-1], number[:8]
     return [
-        f"{first}|{whole}|{number}|{place}",
-        f"{first[::-1]}|{number}|{place}",
-        f"{''.join(map(bones, name))}|{number}|{place}",
-        f"{place}|{number}|{first}" if place else "",
-        f"{max(code, key=len)}|{number}|{first}" if code and number else "",
+        f"{first[:9]}|{whole[:8]}|{number}",
+        f"{back[:9]}|{number}|{place[:3]}",
+        f"{''.join(map(bones, name))[:14]}|{number}",
+        f"{place[:9]}|{number}|{first[:3]}" if place else "",
+        f"{max(code, key=len)[:10]}|{number}|{first[:3]}" if code and number else "",
     ]
 
 
+_RNG = np.random.default_rng(31_337)
+_BYTE, _PLACE = (_RNG.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (256, 64))
+
+
+_ODD = 0x9E3779B97F4A7C15
+_BACK = pow(_ODD, -1, 1 << 64)
+
+
+def scatter(ids: np.ndarray) -> np.ndarray:
+    """Ids in an order that has nothing to do with their values; gather() gives them back."""
+    return (ids.astype(np.uint64) * np.uint64(_ODD)).view(np.int64)
+
+
+def gather(scattered: np.ndarray) -> np.ndarray:
+    return (scattered.view(np.uint64) * np.uint64(_BACK)).view(np.int64)
+
+
+class Words:
+    """The words of a column of texts as arrays: their bytes without spaces, the row of each byte, and where each starts."""
+
+    def __init__(self, texts):
+        col = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        self.n = len(col)
+        _, at, data = col.buffers()
+        off = np.frombuffer(at, np.int32)[col.offset : col.offset + self.n + 1] if self.n else np.zeros(1, np.int32)
+        b = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+        size = np.diff(off)
+        solid = b != 32
+        new = np.zeros(len(b), bool)
+        new[(off[:-1] - off[0])[size > 0]] = True
+        new[1:] |= ~solid[:-1]
+        self.b, self.row = b[solid], np.repeat(np.arange(self.n), size)[solid]
+        self.start = np.flatnonzero(new[solid])
+        self.size = np.diff(np.r_[self.start, len(self.b)])
+        self.word_row = self.row[self.start]
+
+    def place(self) -> np.ndarray:
+        return np.arange(len(self.b)) - np.repeat(self.start, self.size)
+
+    def digests(self) -> np.ndarray:
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        return np.add.reduceat(_BYTE[self.b] * _PLACE[self.place() & 63], self.start)
+
+    def sketch(self) -> np.ndarray:
+        return sketch.of_rows(self.b, self.row, self.n)
+
+    def rare_sketch(self, common: np.ndarray) -> np.ndarray:
+        """Without the common words, in rows that have others."""
+        d = self.digests()
+        at = np.minimum(np.searchsorted(common, d), max(0, len(common) - 1))
+        rare = common[at] != d if len(common) else np.ones(len(d), bool)
+        some = np.zeros(self.n, bool)
+        some[self.word_row[rare]] = True
+        use = np.repeat(rare | ~some[self.word_row], self.size)
+        return sketch.of_rows(self.b[use], self.row[use], self.n)
+
+    def numbers(self, words: np.ndarray, most: int) -> np.ndarray:
+        """(rows, most): the values of the chosen words, all digits, in order; -1 where there are no more."""
+        out = np.full((self.n, most), -1, np.int64)
+        if len(self.start):
+            up = np.repeat(self.size, self.size) - 1 - self.place()
+            value = np.add.reduceat((self.b.astype(np.int64) - 48) * 10 ** np.minimum(up, 17), self.start)[words]
+            row = self.word_row[words]
+            k = np.arange(len(row)) - np.searchsorted(row, row)
+            ok = k < most
+            out[row[ok], k[ok]] = value[ok]
+        return out
+
+
+def common_digests(words: set[str]) -> np.ndarray:
+    return np.sort(Words(sorted(words)).digests())
+
+
 class Records:
-    """The fields of a batch of records as arrays."""
-
-    MOST_NUMBERS = 6
-
-    def __init__(self, names, words, nums, countries, common: set[str], common_words: set[str]):
-        n = len(names)
-        split = [x.split() for x in names]
-        swords = [x.split() for x in words]
-        self.name = sketch.sketches(["".join(x).encode() for x in split])
-        self.rare = sketch.sketches([("".join(w for w in x if w not in common) or "".join(x)).encode() for x in split])
-        self.words = sketch.sketches(["".join(x).encode() for x in swords])
-        self.place = sketch.sketches([("".join(w for w in x if w not in common_words) or "".join(x)).encode() for x in swords])
-        self.house = np.full((n, self.MOST_NUMBERS), -1, np.int64)
-        self.code = np.full((n, 2), -1, np.int64)
-        for i, (w, u) in enumerate(zip(words, nums)):
-            if u or w:
-                house, code = house_and_code(w, u)
-                for k, x in enumerate(house[: self.MOST_NUMBERS]):
-                    self.house[i, k] = int(x)
-                for k, x in enumerate(code[:2]):
-                    self.code[i, k] = int(x[:18])
-        self.country = np.array([{"us": 1, "in": 2, "fr": 3, "ca": 4}.get(COUNTRY_LABELS.get(c, ""), 0 if not c or c in COUNTRY_LABELS else zlib.crc32(c.encode()) + 5) for c in countries], np.int64)
+    """The fields of a batch of records as arrays. nums has house and unit numbers and codes; countries are short labels."""
+
+    MOST_NUMBERS, MOST_CODES = 6, 2
+
+    def __init__(self, names, words, nums, countries, common: np.ndarray, common_words: np.ndarray):
+        n, w, u = Words(names), Words(words), Words(nums)
+        self.name, self.rare = n.sketch(), n.rare_sketch(common)
+        self.words, self.place = w.sketch(), w.rare_sketch(common_words)
+        short = u.size < 5
+        self.house, self.code = u.numbers(short, self.MOST_NUMBERS), u.numbers(~short, self.MOST_CODES)
+        c = Words(countries)
+        self.country = np.zeros(c.n, np.uint64)
+        self.country[c.word_row] = c.digests()
 
     def confidence(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of the pairs (i, j) of this batch's records: weighted similarities of name and place."""
@@ -149,24 +217,30 @@ def _common(df: DataFrame, share: float) -> tuple[dict[str, set[str]], int]:
     return out, n
 
 
-def _keyed(common: dict[str, set[str]]):
+def _keyed(common: dict[str, set[str]], bounds: list[tuple[int, str, int]]):
+    """The rows of all keys of each record, with the range they belong to."""
     names, places = common["n_core"], common["a_words"]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, kid, key = [], [], []
-            for i, (n, w, u) in enumerate(zip(*[b.column(c).to_pylist() for c in ("n", "w", "u")])):
+            at, kid, key, rng, nums, country = [], [], [], [], [], []
+            scattered = scatter(b.column("eid").to_numpy())
+            for i, (n, w, u, c, tie) in enumerate(zip(*[b.column(x).to_pylist() for x in ("n", "w", "u", "c")], scattered.tolist())):
+                house, code = house_and_code(w, u)
+                nums.append(" ".join(house + code))
+                country.append(COUNTRY_LABELS.get(c, c.replace(" ", "_")))
                 name = n.split()
                 if not name:
                     continue
-                house, code = house_and_code(w, u)
                 for k, x in enumerate(sort_keys(name, names, w.split(), places, house, code)):
                     if x:
                         at.append(i)
                         kid.append(k)
                         key.append(x)
-            rows = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(kid, pa.int32()), pa.array(key, pa.string()), *rows.columns], names=["kid", "key", *b.schema.names])
+                        rng.append(bisect_left(bounds, (k, x, tie)))
+            rows = pa.RecordBatch.from_arrays([pa.array(scattered), b.column("src"), b.column("n"), b.column("w"), pa.array(nums, pa.string()), pa.array(country, pa.string())], names=_FIELDS[2:])
+            rows = rows.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(rng, pa.int32()), pa.array(kid, pa.int32()), pa.array(key, pa.string()), *rows.columns], names=["rng", *_FIELDS])
 
     return walk
 
@@ -175,12 +249,13 @@ class _Compare:
     """Compares rows of one sort order within a window."""
 
     def __init__(self, common: dict[str, set[str]], window: int, least: float):
-        self.common, self.window, self.least = common, window, least
+        self.common, self.window, self.least = [common_digests(common[f]) for f in ("n_core", "a_words")], window, least
 
     def pairs(self, rows: pa.Table, far: int | None = None) -> pa.RecordBatch:
         """The pairs of enough confidence; with far, only those of a row before and a row from far on."""
-        kid, eid, src = (rows.column(c).to_numpy() for c in ("kid", "eid", "src"))
-        rec = Records(*[rows.column(c).to_pylist() for c in ("n", "w", "u", "c")], self.common["n_core"], self.common["a_words"])
+        kid, tie, src = (rows.column(c).to_numpy() for c in ("kid", "tie", "src"))
+        eid = gather(np.ascontiguousarray(tie))
+        rec = Records(*[rows.column(c) for c in ("n", "w", "u", "c")], *self.common)
         out = []
         first = np.arange(len(eid))
         for d in range(1, self.window + 1):
@@ -204,8 +279,8 @@ class _Compare:
         return pa.RecordBatch.from_arrays([pa.array(e.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(conf.astype(np.float64))], names=["eid", "cid", "conf"])
 
 
-_FIELDS = ["kid", "key", "eid", "src", "n", "w", "u", "c"]
-_FIELD_TYPES = "kid int, key string, eid long, src int, n string, w string, u string, c string"
+_FIELDS = ["kid", "key", "tie", "src", "n", "w", "u", "c"]
+_FIELD_TYPES = "kid int, key string, tie long, src int, n string, w string, u string, c string"
 
 
 def _slide(compare: _Compare, run_rows: int):
@@ -227,7 +302,7 @@ def _slide(compare: _Compare, run_rows: int):
         """Without repeated rows, which are neighbours in this order."""
         if t.num_rows < 2:
             return t
-        eid, kid = t.column("eid").to_numpy(), t.column("kid").to_numpy()
+        eid, kid = t.column("tie").to_numpy(), t.column("kid").to_numpy()
         return t.filter(pa.array(np.r_[True, (eid[1:] != eid[:-1]) | (kid[1:] != kid[:-1])]))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +315,7 @@ def _slide(compare: _Compare, run_rows: int):
             nonlocal last, head_left
             new = once(pa.Table.from_batches(held).select(_FIELDS))
             if last is not None and last.num_rows and new.num_rows:
-                same = last.column("eid")[-1] == new.column("eid")[0] and last.column("kid")[-1] == new.column("kid")[0]
+                same = last.column("tie")[-1] == new.column("tie")[0] and last.column("kid")[-1] == new.column("kid")[0]
                 new = new.slice(1) if same else new
             if head_left and new.num_rows:
                 yield edge(new.slice(0, head_left), part - 1, 1)
@@ -264,6 +339,16 @@ def _slide(compare: _Compare, run_rows: int):
     return walk
 
 
+def _bounds(rows: DataFrame, common: dict[str, set[str]], n: int, parts: int) -> list[tuple[int, str, int]]:
+    """Where the ranges of the sort order end, from the keys of about SAMPLE_ROWS records a range (they only decide how evenly
+    the tasks are loaded). Every bound is a row itself, so no range but the last can be empty."""
+    every = max(1, n // (SAMPLE_ROWS * parts))
+    some = rows.filter(F.pmod(F.xxhash64("eid"), F.lit(every)) == 0).mapInArrow(_keyed(common, []), f"rng int, {_FIELD_TYPES}")
+    keys = sorted((r.kid, r.key, r.tie) for r in some.select("kid", "key", "tie").distinct().collect())
+    picked = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+    return sorted(set(picked))
+
+
 def candidate_pairs(records: DataFrame, window: int = WINDOW, least: float = LEAST, share: float = COMMON_SHARE, run_rows: int = RUN_ROWS, parts: int | None = None) -> DataFrame:
     """(eid, cid, conf) of the pairs that the sorted neighbourhood finds, perhaps more than once.
 
@@ -271,11 +356,13 @@ def candidate_pairs(records: DataFrame, window: int = WINDOW, least: float = LEA
     common, n = _common(records, share)
     compare = _Compare(common, window, least)
     cols = [F.col("eid").cast("long").alias("eid"), F.col("src").cast("int").alias("src"), *[F.coalesce(c, F.lit("")).alias(k) for c, k in (("n_core", "n"), ("a_words", "w"), ("a_nums", "u"), ("country", "c"))]]
-    keyed = records.filter("eid IS NOT NULL").select(*cols).mapInArrow(_keyed(common), _FIELD_TYPES)
+    rows = records.filter("eid IS NOT NULL").select(*cols)
     if parts is None:
         most = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = max(1, min(max(most, n // 100_000), n // 1000))
-    along = keyed.repartitionByRange(parts, "kid", "key", F.xxhash64("eid")).sortWithinPartitions("kid", "key", F.xxhash64("eid"), "eid")
+    bounds = _bounds(rows, common, n, parts)
+    keyed = rows.mapInArrow(_keyed(common, bounds), f"rng int, {_FIELD_TYPES}")
+    along = keyed.repartitionById(len(bounds) + 1, "rng").drop("rng").sortWithinPartitions("kid", "key", "tie")
     slid = cut(along.mapInArrow(_slide(compare, run_rows), f"e1 long, cid long, conf double, border long, pos int, {_FIELD_TYPES}"), "window")
     inside = slid.filter("border IS NULL").select(F.col("e1").alias("eid"), "cid", "conf")
 

@@ -10,19 +10,22 @@ import numpy as np
 WIDTH = 256
 
 
-def sketches(texts: list[bytes]) -> np.ndarray:
-    """(texts, WIDTH / 64) words; the pairs of neighbouring bytes of each text."""
-    n = len(texts)
+def of_rows(b: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, WIDTH / 64) words: the pairs of neighbouring bytes of each row; row (ascending) has the row of each byte."""
     out = np.zeros((n, WIDTH), bool)
-    b = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
     if len(b) > 1:
-        row = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
+        b = b.astype(np.uint32)
         code = (b[:-1] * np.uint32(2654435761) + b[1:] * np.uint32(2246822519)) >> np.uint32(24)
         same = row[:-1] == row[1:]
         out[row[:-1][same], code[same]] = True
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def sketches(texts: list[bytes]) -> np.ndarray:
+    n = len(texts)
+    return of_rows(np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n)), n)
+
+
 def weight(s: np.ndarray) -> np.ndarray:
     return np.bitwise_count(s).sum(axis=-1).astype(np.float32)
 
