@@ -45,11 +45,17 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text and a window of its length in the longer one, windows cut at both ends included."""
+    """The best ratio of the shorter text and a window of its length in the longer one, windows cut at both ends included; of
+    texts of one length either may be the shorter."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) and best < 100.0 else best
+
+
+def _best_window(a: str, b: str) -> float:
     m, letters = len(a), set(a)
     best = 0.0
     for end in range(1, len(b) + m):
@@ -82,7 +88,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not m:
         return 0.0
     theirs = [c for c, u in zip(b, used) if u]
-    t = sum(x != y for x, y in zip(mine, theirs)) / 2
+    t = sum(x != y for x, y in zip(mine, theirs)) // 2  # whole transpositions
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
     if jaro <= 0.7:
         return jaro

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import linkage, skew
+from weftline.plans import linkage, skew, texts
 
 FLAGSHIP = "er_match_lists"
-_MODULES = (skew, linkage)
+_MODULES = (skew, linkage, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

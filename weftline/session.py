@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -50,6 +51,11 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    """The session may be gone by then; a path of a local file system needs none."""
+    local = path.removeprefix("file:").replace("///", "/").replace("//", "/")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
