@@ -13,7 +13,8 @@ from weftline.llm.match import bones
 from weftline.llm.sketch import dice_and_overlap, sketches
 from weftline.session import cut
 
-LEAST_DICE = 0.6
+#: Sketches this alike are spellings of one text; those above LEAST_DICE only with few edits.
+LEAST_DICE, SURE_DICE, MOST_EDITS = 0.5, 0.75, 3
 #: Neighbours in rank order that a text of a block is compared with, besides the block's first.
 NEAR = 6
 
@@ -23,6 +24,23 @@ def deletions(b: str) -> set[str]:
     return {b} | ({b[:i] + b[i + 1 :] for i in range(len(b))} if len(b) >= 4 else set())
 
 
+def edits(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours, or most + 1."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    two, one = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], two[j - 2] + 1)
+        if min(row) > most:
+            return most + 1
+        two, one = one, row
+    return one[-1]
+
+
 def keys_of(text: str) -> list[str]:
     """Blocking keys: the consonants, those with one left out, for every rotation of the words; long words, and the text
     without one word."""
@@ -60,8 +78,11 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, _ = dice_and_overlap(*[sketches([s.replace(" ", "").encode() for s in v]) for v in (x, y)])
         # some words of a text may stand for all of it
         alone = np.array([_part_of(p, q) or _part_of(q, p) for p, q in zip(x, y)], bool)
-        score = np.where(alone, np.maximum(d, 0.75), d)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score.astype(np.float64))], names=["part", "core", "to", "k", "dice"])
+        score = np.where(alone, np.maximum(d, SURE_DICE), d).astype(np.float64)
+        for i in np.flatnonzero((score >= LEAST_DICE) & (score < SURE_DICE)):
+            if edits(x[i].replace(" ", ""), y[i].replace(" ", ""), MOST_EDITS) > MOST_EDITS:
+                score[i] = 0.0
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=["part", "core", "to", "k", "dice"])
 
 
 def attach(cores: DataFrame) -> DataFrame:

@@ -50,6 +50,9 @@ NUMBER_WORDS = dict(zip("one two three four five six seven eight nine ten eleven
     zip("thirty forty fifty sixty seventy eighty ninety hundred".split(), map(str, range(30, 101, 10)))
 )
 
+#: Words that are added to a name and say nothing about the business.
+ADDED = frozenset("unit group branch official the mr of and a".split())
+
 _VOWELS = str.maketrans("", "", "aeiouyhw")
 _TWICE = re.compile(r"(.)\1+")
 _CODE = re.compile(r"[a-z]\d|\d[a-z]{2,}|\d[a-z]\d")
@@ -79,15 +82,16 @@ def house_and_code(words: str, nums: str) -> tuple[list[str], list[str]]:
 
 def sort_keys(name: list[str], common: set[str], words: list[str], common_words: set[str], house: list[str], code: list[str]) -> list[str]:
     """The composite keys of a record; an empty one is left out."""
-    rare = sorted((w for w in name if w not in common), key=lambda w: (-len(w), w)) or sorted(name, key=lambda w: (-len(w), w))
-    first, whole = bones(rare[0]), "".join(sorted(map(bones, name)))
+    name = [w for w in name if w not in ADDED] or name
+    rare = sorted((w for w in name if w not in common), key=lambda w: (-len(w), w))
+    first, whole = bones((rare or sorted(name, key=lambda w: (-len(w), w)))[0]), "".join(sorted(map(bones, name)))
     at = sorted((w for w in words if w not in common_words and len(w) > 2), key=lambda w: (-len(w), w))
     number = ".".join(sorted(house, key=lambda x: (-len(x), x)))
     place = bones(at[0]) if at else ""
     # composite keys of shortened fields, as the method has them; the texts themselves are compared whole
     back, number = first[::-1], number[:8]
     return [
-        f"{first[:9]}|{whole[:8]}|{number}",
+        f"{first[:9]}|{whole[:8]}|{number}" if rare else f"{whole[:24]}|{number}",
         f"{back[:9]}|{number}|{place[:3]}",
         f"{''.join(map(bones, name))[:14]}|{number}",
         f"{place[:9]}|{number}|{first[:3]}" if place else "",
