@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from weftline.functions import fixed as V
 from weftline.functions import udfs
 from weftline.operators import context, model, passes, rich
-from weftline.plans import registry
+from weftline.plans import job, registry
+from weftline.sources import files
 from weftline.streaming import records as stream
 
 
@@ -46,6 +47,26 @@ def test_two_passes_end_to_end(spark):
     assert m.candidate_recall >= m.recall and m.perfect_f05 >= m.f05 and 0 <= m.precision <= 1
 
 
+def test_job_over_raw_files(spark, tmp_path):
+    for split, seed in (("train", 3), ("test", 4)):
+        one, cand, true = corpus(seed, 50)
+        (tmp_path / split).mkdir()
+        for n, rows in ((1, one), (2, [c for c in cand if c[0] < 2e8]), (3, [c for c in cand if c[0] >= 2e8])):
+            # an unseen country in the test split
+            text = "".join(f"{r[1]}\t{r[3]}\t{r[4]}\t{' FR' if split == 'test' and r[0] % 10 == 0 else 'us'}\n" for r in rows)
+            (tmp_path / split / f"{split}_source{n}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + text)
+        if split == "train":
+            names = dict([(r[0], r[1]) for r in one + cand])
+            rows = "".join(f"{r[1]}\t{','.join(names[c] for e, c in true if e == r[0])}\n" for r in one)
+            (tmp_path / split / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + rows)
+    job.run(spark, str(tmp_path), str(tmp_path / "out"), passes.Settings(rounds=3, later_least=0.5))
+    m, c = (files.read_tsv(spark, str(tmp_path / "out" / x), ["source1_entity_id", c]).collect() for x, c in (("matches", "matched_entity_ids"), ("candidates", "candidate_entity_ids")))
+    assert {r[0] for r in m} == {r[0] for r in c} == {f"s1-{i}" for i in range(50)} and len(m) == len(c) == 50
+    cands = {r[0]: set(r[1].split(",")) for r in c}
+    got = [x for r in m for x in r[1].split(",") if x]
+    assert len(got) == len(set(got)) and all(set(filter(None, r[1].split(","))) <= cands[r[0]] for r in m) and len(got) > 20
+
+
 def test_features_of_equal_records():
     a = dict(n_norm="cafe noir limited", n_core="cafe noir", n_legal="limited", a_norm="12 main st", a_words="main st", a_nums="12 54321", indic=False, street="main", costs=[3.0, 4.0])
     f = dict(zip(rich.FEATURES, rich.pair_features(a, a)))

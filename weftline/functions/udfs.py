@@ -57,9 +57,10 @@ def _pairs(f):
 ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler = map(_pairs, (similarity.ratio, similarity.token_sort_ratio, similarity.token_set_ratio, similarity.partial_ratio, similarity.jaro_winkler))
 
 
-def normalised(raw, name: str = "business_name", address: str = "business_address"):
-    """A raw source (see files.RAW) as normalised records: one Python pass for names, one for addresses."""
+def normalised(raw, name: str = "business_name", address: str = "business_address", keep: tuple[str, ...] = ()):
+    """A raw source (see files.RAW) as normalised records: one Python pass for names and addresses; keep names columns
+    that go along."""
     n, a = name_features(F.col(name)).alias("n"), address_features(F.col(address)).alias("a")
     indic = F.coalesce(F.col(name), F.lit("")).rlike("[\\u0900-\\u0D7F]") | F.coalesce(F.col(address), F.lit("")).rlike("[\\u0900-\\u0D7F]")
-    d = raw.select("entity_id", F.lower(F.trim("country")).alias("country"), n, a, indic.alias("indic")).select("entity_id", "country", "n.*", "a.*", "indic")
+    d = raw.select(*keep, "entity_id", F.lower(F.trim("country")).alias("country"), n, a, indic.alias("indic")).select(*keep, "entity_id", "country", "n.*", "a.*", "indic")
     return d.withColumn("n_skel", skeletons(F.col("n_core")))

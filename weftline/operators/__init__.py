@@ -1 +1 @@
-"""Relational operators: DataFrame in, DataFrame out, no action inside."""
+"""Relational operators: DataFrame in, DataFrame out."""

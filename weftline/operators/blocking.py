@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed as V
+from weftline.session import cut
 
 DIGITS = 6
 
@@ -139,18 +140,18 @@ def prune(ranked: DataFrame) -> DataFrame:
 
 
 class Blocking:
-    """All stages between two sides, each as a DataFrame."""
+    """All stages between two sides, each as a DataFrame. The weighted keys serve four stages each and are cut to the shared
+    folder once; the rest stays one lazy plan."""
 
     def __init__(self, one: DataFrame, cand: DataFrame):
         sizes = country_sizes(cand)
-        k1, k2 = single_keys(one), single_keys(cand)
-        df = document_frequency(k2)
-        self.df, self.sizes, self.k1, self.k2 = df, sizes, k1, k2
-        self.w1, self.w2 = weighted(k1, df, sizes), weighted(k2, df, sizes)
-        c1, c2 = compound_keys(self.w1), compound_keys(self.w2)
-        self.c1, self.c2 = weighted(c1, document_frequency(c2), sizes), c2
+        k2 = single_keys(cand)
+        self.df = document_frequency(k2)
+        self.w1, self.w2 = (cut(weighted(k, self.df, sizes), "keys") for k in (single_keys(one), k2))
+        self.c2 = cut(compound_keys(self.w2), "keys")
+        self.c1 = weighted(compound_keys(self.w1), document_frequency(self.c2), sizes)
         self.probes = probe_keys(self.w1.unionByName(self.c1))
-        self.pairs = probe_pairs(self.probes, k2.unionByName(c2))
+        self.pairs = probe_pairs(self.probes, self.w2.select("eid", "country", "kt", "key").unionByName(self.c2))
         self.top = top_candidates(self.pairs)
         self.scored = cosine(self.top, self.w1, self.w2)
         self.ranked = add_ranks(self.scored)

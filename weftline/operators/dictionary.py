@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.similarity import ratio
 from weftline.operators.blocking import tokens
 
 
@@ -17,6 +19,32 @@ def word_costs(names: DataFrame, col: str, prior: list[str], boost: int = 50, le
     return n.select("word", "n", F.round(-F.log(F.col("n") / total), 3).alias("cost"))
 
 
+NONE = "<none>"
+
+
+def _aligned(batches):
+    for b in batches:
+        t, u = [], []
+        for mine, other in zip(*[c.to_pylist() for c in b.columns]):
+            theirs = other.split()
+            for tok in mine.split():
+                if len(tok) >= 2 and not tok.isdigit():
+                    best, score = NONE, 0.0
+                    for o in theirs:
+                        r = ratio(tok, o)
+                        if r > score:
+                            best, score = o, r
+                    t.append(tok)
+                    u.append(best if score >= 55 else NONE)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(u, pa.string())], names=["t", "u"])
+
+
+def aligned_votes(pairs: DataFrame, mine: str, other: str) -> DataFrame:
+    """(t, u): each word of a text with the most similar word of the matched text, the first where equal, or none where no
+    word is similar enough."""
+    return pairs.select(F.coalesce(mine, F.lit("")), F.coalesce(other, F.lit(""))).mapInArrow(_aligned, "t string, u string")
+
+
 def majority_votes(pairs: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
     """(t, u, n): of (t, u) votes, the winner of each t with enough support; words that win for themselves are left out."""
     votes = pairs.groupBy("t", "u").agg(F.count(F.lit(1)).alias("n"))

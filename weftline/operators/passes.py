@@ -28,71 +28,102 @@ class Settings:
 
 
 class Passes:
-    """Fits on labelled pairs (eid, cid) and scores all candidates. Stages that are used again are cut to the shared folder."""
+    """Fits on labelled records, then scores any records. Stages that are used again are cut to the shared folder.
+
+    truth has the true (eid, cid). Fold A fits the cheap model, B the rich one, C chooses its threshold; the second pass fits on
+    B and C."""
 
     def __init__(self, one: DataFrame, cand: DataFrame, truth: DataFrame, settings: Settings | None = None):
         self.s = settings or Settings()
-        costs = dictionary.word_costs(one, "n_norm", self.s.prior)
-        common = dictionary.common_words(one.unionByName(cand), "a_words")
-        self.one, self.cand = (cut(rich.with_street(rich.with_costs(r, costs), common), "records") for r in (one, cand))
+        self.costs = dictionary.word_costs(one, "n_norm", self.s.prior)
+        self.one, self.cand = self.prepared(one, cand)
         self.truth, self.ids = truth, one.select("eid")
 
+    def prepared(self, one: DataFrame, cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+        common = dictionary.common_words(one.unionByName(cand), "a_words")
+        return tuple(cut(rich.with_street(rich.with_costs(r, self.costs), common), "records") for r in (one, cand))
+
     def labelled(self, df: DataFrame) -> DataFrame:
         return df.join(self.truth.select("eid", "cid").withColumn("y", F.lit(1)), ["eid", "cid"], "left").fillna(0, ["y"])
 
+    @staticmethod
+    def cheap(one: DataFrame, cand: DataFrame) -> DataFrame:
+        return cut(cheap_features(cut(blocking.Blocking(one, cand).ranked, "scored"), one, cand), "cheap")
+
+    def cascade(self, cheap: DataFrame, one: DataFrame, cand: DataFrame) -> DataFrame:
+        """The pairs that survive the cheap model, with rich and competition features."""
+        alive = context.survivors(model.score(self.stage_two, cheap, CHEAP, "p2"), "p2", self.stage_two_least, self.s.stage_two_top)
+        feats = rich.rich_features(alive, one, cand)
+        both = context.context(alive, "p2").drop(*[c for c in rich.FEATURES if c in CHEAP])
+        return cut(both.join(feats, ["eid", "cid"]), "stage3")
+
     def first(self) -> DataFrame:
-        """(eid, cid, p2, p3) of the pairs that survive the cheap model."""
-        self.scored = cut(blocking.Blocking(self.one, self.cand).ranked, "scored")
-        cheap = cut(self.labelled(cheap_features(self.scored, self.one, self.cand)), "cheap")
+        """Fit the first pass; (eid, cid, p2, p3) of the pairs that survive the cheap model."""
         fold = labels.fold_of(F.col("eid"))
-        self.stage_two = model.fit(labels.negative_sample(cheap.filter(fold == "A"), "y"), CHEAP, rounds=self.s.rounds)
-        p2 = cut(model.score(self.stage_two, cheap, CHEAP, "p2"), "p2")
-        least = self.s.stage_two_least
-        if least is None:
-            least = context.recall_threshold(p2.filter(fold == "A"), "p2", self.truth).collect()[0].thr or 0.0
-        alive = context.survivors(p2, "p2", least, self.s.stage_two_top)
-        feats = rich.rich_features(alive, self.one, self.cand)
-        both = context.context(alive, "p2").drop(*[c for c in rich.FEATURES if c in CHEAP]).join(feats, ["eid", "cid"])
+        cheap = self.cheap(self.one, self.cand)
+        self.scored = cheap.select("eid", "cid")
+        known = self.labelled(cheap)
+        self.stage_two = model.fit(labels.negative_sample(known.filter(fold == "A"), "y"), CHEAP, rounds=self.s.rounds)
+        self.stage_two_least = self.s.stage_two_least
+        if self.stage_two_least is None:
+            p2 = model.score(self.stage_two, cheap.filter(fold == "A"), CHEAP, "p2")
+            self.stage_two_least = context.recall_threshold(p2, "p2", self.truth).collect()[0].thr or 0.0
+        both = self.cascade(cheap, self.one, self.cand)
         self.cols3 = [*dict.fromkeys([*CHEAP, "p2", *rich.FEATURES, *CONTEXT])]
-        both = cut(both, "stage3")
-        self.stage_three = model.fit(both.filter(fold == "B"), self.cols3, rounds=self.s.rounds)
-        self.pass_one = cut(model.score(self.stage_three, both, self.cols3, "p3").select("eid", "cid", "p2", "p3", "y"), "pass1")
+        self.stage_three = model.fit(self.labelled(both).filter(fold == "B"), self.cols3, rounds=self.s.rounds)
+        self.pass_one = cut(model.score(self.stage_three, both, self.cols3, "p3").select("eid", "cid", "p2", "p3"), "pass1")
         self.least = self.s.least
         if self.least is None:
             own = context.threshold_sweep(self.pass_one.filter(fold == "C"), "p3", self.truth.filter(fold == "C"), self.ids.filter(fold == "C"), 0.2, 0.9, 0.025)
             self.least = context.best_threshold(own).collect()[0].thr
-        return self.pass_one.select("eid", "cid", "p2", "p3")
+        return self.pass_one
 
-    def second(self) -> DataFrame:
-        """(eid, cid, p) of the pairs of the second pass, narrowed to those that may be decided."""
-        p1 = self.pass_one.select("eid", "cid", "p3")
+    def universe(self, pass_one: DataFrame, one: DataFrame, cand: DataFrame) -> DataFrame:
+        """The pairs of the second pass with their competition features and the rich ones against record and best sibling."""
+        p1 = pass_one.select("eid", "cid", "p3")
         sure = cut(collective.confident(p1, "p3", self.s.sure), "sure")
-        probed = cut(collective.sibling_probe(sure, self.cand), "siblings")
-        ev = collective.evidence(sure, probed)
+        ev = collective.evidence(sure, cut(collective.sibling_probe(sure, cand), "siblings"))
         uni = cut(collective.competition(collective.universe(p1, ev, sure), sure, "p3"), "universe")
-        a = rich.rich_features(uni, self.one, self.cand)
+        a = rich.rich_features(uni, one, cand)
         sib = uni.filter("best_sib IS NOT NULL").select(F.col("best_sib").alias("eid"), "cid").distinct()
-        b = rich.rich_features(sib, self.cand, self.cand, "s_").withColumnRenamed("eid", "best_sib")
-        full = cut(self.labelled(uni.join(a, ["eid", "cid"]).join(b, ["best_sib", "cid"], "left")), "pass2")
-        cols = model.numeric_columns(full)
-        fold = labels.fold_of(F.col("eid"))
-        fitted = model.fit(full.filter(fold != "A"), cols, rounds=self.s.rounds)
-        return model.score(fitted, collective.narrow(full, "p3"), cols, "p").select("eid", "cid", "p")
+        b = rich.rich_features(sib, cand, cand, "s_").withColumnRenamed("eid", "best_sib")
+        return cut(uni.join(a, ["eid", "cid"]).join(b, ["best_sib", "cid"], "left"), "pass2")
 
-    def adapt(self, scored: DataFrame, labelled: DataFrame, cols: list[str], where: DataFrame, hold_out: DataFrame) -> tuple[bool, object]:
-        """Self-training: sure scores of records of unseen countries become labels of half weight; the new model is kept only if
-        the hold-out loses no more than the gate allows. Returns (kept, model)."""
-        extra = collective.pseudo_labels(scored.join(where.select("eid"), "eid", "left_semi"), "p").join(scored.drop("y"), ["eid", "cid"]).withColumn("w", F.lit(V.PSEUDO_WEIGHT))
-        rows = labelled.withColumn("w", F.lit(1.0)).unionByName(extra.select("y", "w", *[c for c in labelled.columns if c != "y"]), allowMissingColumns=True)
-        old, new = model.fit(labelled, cols, rounds=self.s.rounds), model.fit(rows, cols, weight="w", rounds=self.s.rounds)
+    def second(self) -> DataFrame:
+        """Fit the second pass; (eid, cid, p) of its pairs, narrowed to those that may be decided."""
+        full = self.universe(self.pass_one, self.one, self.cand)
+        self.cols_later = model.numeric_columns(full)
+        self.pass_two_rows = self.labelled(full)
+        self.later = model.fit(self.pass_two_rows.filter(labels.fold_of(F.col("eid")) != "A"), self.cols_later, rounds=self.s.rounds)
+        return self.final(full)
+
+    def final(self, full: DataFrame, fitted=None) -> DataFrame:
+        return model.score(fitted or self.later, collective.narrow(full, "p3"), self.cols_later, "p").select("eid", "cid", "p")
+
+    def predict(self, one: DataFrame, cand: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Both passes over other records: (first pass with p2 and p3, rows of the second pass, its scores p)."""
+        one, cand = self.prepared(one, cand)
+        both = self.cascade(self.cheap(one, cand), one, cand)
+        p1 = cut(model.score(self.stage_three, both, self.cols3, "p3").select("eid", "cid", "p2", "p3"), "pass1")
+        full = self.universe(p1, one, cand)
+        return p1, full, self.final(full)
+
+    def adapt(self, full: DataFrame, scored: DataFrame, where: DataFrame) -> tuple[bool, object]:
+        """Self-training for records without labels (where): their sure scores become labels of half weight. The new model is
+        kept only if the hold-out (fold C) loses no more than the gate allows. Returns (kept, model)."""
+        fold = labels.fold_of(F.col("eid"))
+        pseudo = collective.pseudo_labels(scored.join(where.select("eid"), "eid", "left_semi"), "p")
+        extra = full.join(pseudo, ["eid", "cid"]).select("y", *self.cols_later, F.lit(V.PSEUDO_WEIGHT).alias("w"))
+        own = self.pass_two_rows.filter(fold == "B").select("y", *self.cols_later, F.lit(1.0).alias("w"))
+        old, new = (model.fit(rows, self.cols_later, weight="w", rounds=self.s.rounds) for rows in (own, own.unionByName(extra)))
+        held, ids = self.pass_two_rows.filter(fold == "C"), self.ids.filter(fold == "C")
 
         def f(m) -> float:
-            got = context.decide(model.score(m, hold_out, cols, "q"), "q", self.s.later_least)
-            ids = hold_out.select("eid").distinct()
-            return context.macro_f_half(got, self.truth.join(ids, "eid", "left_semi"), ids).collect()[0].f05
+            got = context.decide(self.final(held, m), "p", self.s.later_least)
+            return context.macro_f_half(got, self.truth.filter(fold == "C"), ids).collect()[0].f05
 
         keep = accepted(f(old), f(new))
-        return keep, new if keep else old
+        return keep, new if keep else self.later
 
 
 def accepted(before: float, after: float, drop: float = V.GATE_DROP) -> bool:

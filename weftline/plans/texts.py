@@ -132,6 +132,15 @@ def er_normalise(spark, d):
     return udfs.normalised(raw)
 
 
+@query()
+def er_translit_votes(spark, d):
+    """What words of Indic records mean, voted by the matched names."""
+    a = L.one(spark, d).select("eid", F.col("n_norm").alias("u"))
+    b = L.cand(spark, d).filter("indic").select(F.col("eid").alias("cid"), F.col("n_norm").alias("t"))
+    best = context.decide(L.pairs(spark, d), "bscore", L.LEAST)
+    return dictionary.majority_votes(dictionary.aligned_votes(best.join(a, "eid").join(b, "cid"), "t", "u"))
+
+
 # Pair similarities on the survivors of the first stage.
 def _survivors(spark, d):
     return context.survivors(L.pairs(spark, d), "bscore").select("eid", "cid")
@@ -241,6 +250,15 @@ def er_pipeline_pass2(spark, d):
     return match_lists(L.one(spark, d), context.decide(p.second(), "p", passes.Settings().later_least))
 
 
+@query(f"WITH {L._RECS}, {L._PAIRS}, {L._decided(L.LEAST)} SELECT a.entity_id AS source1_entity_id, string_agg(b.entity_id, ',' ORDER BY b.entity_id) AS matched_entity_ids FROM decided JOIN r1 a ON a.eid = decided.eid JOIN r2 b ON b.eid = cid GROUP BY ALL")
+def er_entity_lists(spark, d):
+    """Surrogate ids back to the ids of the sources."""
+    a = L.one(spark, d).select("eid", F.col("entity_id").alias("source1_entity_id"))
+    b = L.cand(spark, d).select(F.col("eid").alias("cid"), F.col("entity_id").alias("other"))
+    pairs = L.decided(spark, d).join(a, "eid").join(b, "cid")
+    return match_lists(pairs.select("source1_entity_id"), pairs, "source1_entity_id", "other")
+
+
 @query("SELECT country, count(DISTINCT eid) AS records FROM (FROM train_s1 UNION ALL FROM train_s2 UNION ALL FROM train_s3) GROUP BY country")
 def er_stream_records(spark, d):
     return stream.upkeep(stream.arriving(spark, [f"{d}/{t}.parque[t]" for t in RECORDS], late="36500 days"), ["country"], "records")
