@@ -7,7 +7,7 @@ every other text, goes, largest first, to the fullest container of the block tha
 capacity is split. Open containers never outlive their block, so memory is bounded; the room lost to that is a few
 containers in each block.
 
-Null and empty texts have size 0 and are placed too (they fill nothing). Containers are numbered by stretch and block.
+Null and empty texts have size 0 and are placed too (they fill nothing). Containers are numbered by stretch (18 bits), block (18 bits) and place (27 bits).
 """
 
 from __future__ import annotations
@@ -84,10 +84,10 @@ def _pack(sizes: list[tuple[int, int]], block_items: int):
             ids = np.r_[ids, b.column(0).to_numpy(zero_copy_only=False)]
             n = np.r_[n, b.column(1).to_numpy(zero_copy_only=False)]
             while len(ids) >= block_items:
-                yield from block(ids[:block_items], n[:block_items], (stretch << 44) + (k << 36))
+                yield from block(ids[:block_items], n[:block_items], (stretch << 45) + (k << 27))
                 ids, n, k = ids[block_items:], n[block_items:], k + 1
         if len(ids):
-            yield from block(ids, n, (stretch << 44) + (k << 36))
+            yield from block(ids, n, (stretch << 45) + (k << 27))
 
     return walk
 
