@@ -72,30 +72,44 @@ def _part_of(a: str, b: str) -> bool:
     return (len(words) > 1 or len(a) >= 6) and sum(map(len, words)) >= 6 and set(words) < set(b.split())
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = (b.column(c).to_pylist() for c in ("core", "to"))
-        d, _ = dice_and_overlap(*[sketches([s.replace(" ", "").encode() for s in v]) for v in (x, y)])
-        # some words of a text may stand for all of it
-        alone = np.array([_part_of(p, q) or _part_of(q, p) for p, q in zip(x, y)], bool)
-        score = np.where(alone, np.maximum(d, SURE_DICE), d).astype(np.float64)
-        for i in np.flatnonzero((score >= LEAST_DICE) & (score < SURE_DICE)):
-            if edits(x[i].replace(" ", ""), y[i].replace(" ", ""), MOST_EDITS) > MOST_EDITS:
-                score[i] = 0.0
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=["part", "core", "to", "k", "dice"])
-
-
-def attach(cores: DataFrame) -> DataFrame:
+def _other_word(a: list[str], b: list[str]) -> bool:
+    """Whether two texts differ by a whole word: one more, or another one in the same place."""
+    if set(a) < set(b) or set(b) < set(a):
+        return True
+    return len(a) == len(b) and any(p != q and edits(p, q, 3) > (1 if min(len(p), len(q)) <= 5 else 3) for p, q in zip(a, b))
+
+
+def _scores(drop_words: bool):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(c).to_pylist() for c in ("core", "to"))
+            d, _ = dice_and_overlap(*[sketches([s.replace(" ", "").encode() for s in v]) for v in (x, y)])
+            if drop_words:  # some words of a text may stand for all of it
+                alone = np.array([_part_of(p, q) or _part_of(q, p) for p, q in zip(x, y)], bool)
+                score = np.where(alone, np.maximum(d, SURE_DICE), d).astype(np.float64)
+            else:
+                other = np.array([_other_word(p.split(), q.split()) for p, q in zip(x, y)], bool)
+                score = np.where(other, 0.0, d).astype(np.float64)
+            for i in np.flatnonzero((score >= LEAST_DICE) & (score < SURE_DICE)):
+                if edits(x[i].replace(" ", ""), y[i].replace(" ", ""), MOST_EDITS) > MOST_EDITS:
+                    score[i] = 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=["part", "core", "to", "k", "dice"])
+
+    return walk
+
+
+def attach(cores: DataFrame, drop_words: bool = True) -> DataFrame:
     """(part, core, root): every text that is attached, with its canonical text. cores: part, core, k (how often it stands).
 
     A text goes to that of higher rank (k, then smaller text) with the highest log k + 6 * dice; those that are attached
-    themselves pass their followers on until all stand at a text that is attached to none."""
+    themselves pass their followers on until all stand at a text that is attached to none. Without drop_words, a text with
+    one word more, or with another word, is another text."""
     blocks = cut(cores.select("part", "core", "k").mapInArrow(_blocks, "key string, part string, core string, k long"), "core_keys")
     w = Window.partitionBy("part", "key").orderBy(F.desc("k"), "core")
     near = blocks.withColumns({f"to{d}": F.lag("core", d).over(w) for d in range(1, NEAR + 1)} | {f"k{d}": F.lag("k", d).over(w) for d in range(1, NEAR + 1)} | {"to0": F.first("core").over(w), "k0": F.first("k").over(w)})
     pairs = near.select("part", "core", F.explode(F.array(*[F.struct(F.col(f"to{d}").alias("to"), F.col(f"k{d}").alias("k")) for d in range(NEAR + 1)])).alias("p")).select("part", "core", "p.to", "p.k")
     pairs = pairs.filter("to IS NOT NULL AND to <> core").distinct()
-    scored = pairs.mapInArrow(_scores, "part string, core string, to string, k long, dice double").filter(F.col("dice") >= LEAST_DICE)
+    scored = pairs.mapInArrow(_scores(drop_words), "part string, core string, to string, k long, dice double").filter(F.col("dice") >= LEAST_DICE)
     post = F.log("k") + 6 * F.col("dice")
     up = cut(scored.groupBy("part", "core").agg(F.max(F.struct(post.alias("p"), "to")).alias("b")).select("part", "core", F.col("b.to").alias("root")), "cores")
     while True:
