@@ -60,6 +60,26 @@ def test_variants_and_other_organisations(spark):
     assert len(want & got) > 0.97 * len(want) and len(got - want) < 0.03 * len(want)
 
 
+def test_organisation_with_a_third_of_all_rows(spark):
+    """Its coined word stands beside many misspellings of its other words and is a core all the same."""
+    r = random.Random(5)
+    rows, _ = corpus(1)
+    given, line = GIVEN[0], "catering"
+    for i in range(len(rows) // 2):
+        words = [w for w in (given, "mobreldastun", line, "enterprises") if w == "mobreldastun" or r.random() < 0.8]
+        if len(words) < 2:
+            words.append(line)
+        if r.random() < 0.3:
+            k = r.choice([k for k, w in enumerate(words) if w != "mobreldastun"])
+            words[k] = words[k][:3] + r.choice("bdfgklmn") + words[k][4:]
+        rows.append((5000 + i, " ".join(words)))
+    rows += [(9000, f"{given} mobreldastun {line}"), (9001, f"mobreldastun {line}"), (9002, f"{given} {line}"), (9003, f"{given} mobreldastun bakery")]
+    got = pairs(spark, rows)
+    assert (9000, 9001) in got and not {(9000, 9002), (9001, 9002), (9000, 9003), (9002, 9003)} & got
+    big = [i for i, _ in rows if 5000 <= i < 9000]
+    assert len([p for p in got if p[0] in big and p[1] in big]) > 0.9 * len(big) * (len(big) - 1) / 2
+
+
 def test_small_and_empty_tables(spark):
     assert pairs(spark, []) == set()
     assert pairs(spark, [(1, None), (2, "")]) == set()

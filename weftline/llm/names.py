@@ -21,7 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.canon import attach, edits
@@ -30,10 +30,13 @@ from weftline.llm.match import ADDED, bones
 from weftline.operators.combine import tokens_of
 from weftline.session import cut
 
-#: A word of the vocabulary stands in this share of the names at least, beside this many different rare words.
-VOCAB_SHARE, VOCAB_BESIDE = 0.0002, 6
-#: A rare word: in no more names than this, and of this length at least.
-RARE_NAMES, RARE_LETTERS = 60, 6
+#: A word of the vocabulary stands in this share of the names at least, beside this many different rare words, and beside
+#: this many for each of its names that are without its closest companion.
+VOCAB_SHARE, VOCAB_BESIDE, VOCAB_APART = 0.0002, 6, 0.2
+#: A rare word: in no more names than this, or in this share of those of the word it stands beside, and of this length at least.
+RARE_NAMES, RARE_SHARE, RARE_LETTERS = 60, 0.05, 6
+#: Edits within which a word is a spelling of a companion.
+NEAR_EDITS = 2
 GENERIC_SHARE = 0.05
 
 #: Digits typed for letters.
@@ -41,14 +44,32 @@ LOOKALIKES = str.maketrans("0134578", "oleastb")
 
 
 def word_stats(names: DataFrame) -> DataFrame:
-    """(word, n, first, beside): names it stands in, in first place, and different rare words that it stands beside."""
+    """(word, n, first, beside, apart, beside_apart): names it stands in, in first place; different rare words that it stands
+    beside; both without the names that have its closest companion, the word it stands beside most often, or a spelling of that.
+
+    One large organisation makes its coined word and its other words frequent together. Without the closest companion, a
+    word of the vocabulary still meets the rare words of others, while the coined word only meets misspellings."""
     words = names.select("id", F.posexplode(F.filter(F.split("name", " "), lambda t: t != "")).alias("pos", "word"))
-    n = words.groupBy("word").agg(F.count_distinct("id").alias("n"), F.count_if(F.col("pos") == 0).alias("first"))
-    rare = words.join(n.filter((F.col("n") <= RARE_NAMES) & (F.length("word") >= RARE_LETTERS)).select("word"), "word", "left_semi")
+    n = cut(words.groupBy("word").agg(F.count_distinct("id").alias("n"), F.count_if(F.col("pos") == 0).alias("first")), "words")
+    # each spelling of a name once, with its count: the words as a set, with how frequent each is
+    sets = words.select("id", "word").distinct().join(n.select("word", "n"), "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("ws")).groupBy("ws").agg(F.count(F.lit(1)).alias("k"))
+    sets = cut(sets, "word_sets")
+    each = sets.select("ws", "k", F.explode("ws").alias("x")).select("ws", "k", F.col("x.word").alias("word"), F.col("x.n").alias("m"))
+    each = each.filter(F.col("m") >= VOCAB_BESIDE)
+    met = each.select("word", "k", F.explode("ws").alias("o")).select("word", "k", F.col("o.word").alias("o")).filter("o <> word").groupBy("word", "o").agg(F.sum("k").alias("c"))
+    top = met.groupBy("word").agg(F.max(F.struct("c", "o")).alias("t")).select("word", F.col("t.o").alias("top"))
+    alone = each.join(top, "word", "left").withColumn("far", F.expr(f"top IS NULL OR NOT exists(ws, x -> x.word <> word AND (levenshtein(x.word, top) <= least({NEAR_EDITS}, length(top) div 3) OR (length(top) >= 4 AND contains(x.word, top))))"))
     # the longest rare word of each name stands for it
-    lead = rare.groupBy("id").agg(F.max(F.struct(F.length("word").alias("l"), "word")).alias("m")).select("id", F.col("m.word").alias("rare"))
-    near = words.join(lead, "id").filter("word <> rare").select("word", "rare").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("beside"))
-    return n.join(near, "word", "left").fillna(0, ["beside"])
+    rare = F.expr(f"array_max(transform(filter(ws, x -> length(x.word) >= {RARE_LETTERS} AND x.n <= greatest({RARE_NAMES}, {RARE_SHARE} * m)), x -> struct(length(x.word) AS l, x.word AS word))).word")
+    lead = alone.withColumn("rare", rare).withColumn("rare", F.expr("CASE WHEN rare <> word THEN rare END"))
+    near = lead.groupBy("word").agg(F.count_distinct("rare").alias("beside"), F.coalesce(F.sum(F.expr("CASE WHEN far THEN k END")), F.lit(0)).alias("apart"), F.count_distinct(F.expr("CASE WHEN far THEN rare END")).alias("beside_apart"))
+    return n.join(near, "word", "left").fillna(0, ["beside", "apart", "beside_apart"])
+
+
+def is_vocabulary() -> Column:
+    """Of the rows of word_stats: coined words of a large organisation have few rare words beside them without its other words."""
+    few = (F.col("beside_apart") < VOCAB_BESIDE) & (F.col("n") > RARE_NAMES)
+    return (F.col("beside") >= VOCAB_BESIDE) & (F.col("beside_apart") >= VOCAB_APART * F.col("apart")) & ~few
 
 
 def is_abbreviation(short: str, word: str) -> bool:
@@ -67,10 +88,10 @@ def is_abbreviation(short: str, word: str) -> bool:
 class Vocabulary:
     """The words, what each stands for, and what kind of word that is: 'lead', 'line' or 'generic'."""
 
-    def __init__(self, stats: list[tuple[str, int, int]], names: int, alias: dict[str, str] | None = None):
-        """alias: what words stand for that are no given names; without it every word stands for itself."""
-        self.n = {w: n for w, n, _ in stats if w not in ADDED}
-        first = {w: f for w, _, f in stats}
+    def __init__(self, stats: list[tuple[str, int, int, int]], names: int, alias: dict[str, str] | None = None):
+        """stats: word, names, in first place, without the closest companion. alias: what words stand for that are no given names; without it every word stands for itself."""
+        self.n = {w: n for w, n, *_ in stats if w not in ADDED}
+        first, apart = {w: f for w, _, f, _ in stats}, {w: a for w, _, _, a in stats}
         leads = {w for w, n in self.n.items() if first[w] >= 0.5 * n}
         self.by_letter: dict[str, list[str]] = defaultdict(list)
         self.canon: dict[str, str] = {}
@@ -86,11 +107,12 @@ class Vocabulary:
             while self.canon[self.canon[w]] != self.canon[w] and self.canon[w] not in seen:
                 seen.add(self.canon[w])
                 self.canon[w] = self.canon[self.canon[w]]
-        total, lead = defaultdict(int), defaultdict(int)
+        total, lead, wide = defaultdict(int), defaultdict(int), defaultdict(int)
         for w, c in self.canon.items():
             total[c] += self.n[w]
+            wide[c] += apart[w]
             lead[c] += first[w]
-        self.kind = {c: "generic" if total[c] >= GENERIC_SHARE * names and lead[c] < 0.5 * total[c] else "lead" if lead[c] >= 0.5 * total[c] else "line" for c in total}
+        self.kind = {c: "generic" if wide[c] >= GENERIC_SHARE * names and lead[c] < 0.5 * total[c] else "lead" if lead[c] >= 0.5 * total[c] else "line" for c in total}
         self.memo: dict[str, tuple[str, ...] | None] = {}
 
     def explain(self, t: str, least: int = 0) -> str | None:
@@ -271,8 +293,8 @@ def organisations(df: DataFrame, id_col: str = "eid", name_col: str = "n_core")
     records = df.select(F.col(id_col).cast("long").alias("id"), F.trim(F.col(name_col)).alias("name")).filter("id IS NOT NULL AND name <> ''").distinct()
     records = cut(records, "names")
     n = records.count()
-    stats = word_stats(records).filter((F.col("n") >= F.lit(max(2.0, VOCAB_SHARE * n))) & (F.col("beside") >= VOCAB_BESIDE))
-    rows = [(r.word, r.n, r.first) for r in stats.select("word", "n", "first").collect()]
+    stats = word_stats(records).filter((F.col("n") >= F.lit(max(2.0, VOCAB_SHARE * n))) & is_vocabulary())
+    rows = [(r.word, r.n, r.first, r.apart) for r in stats.select("word", "n", "first", "apart").collect()]
     spellings = records.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
     fields = "name string, k long, core string, lead string, line string, short string, lone boolean"
     vocab = Vocabulary(rows, n)
