@@ -72,6 +72,24 @@ def test_share(spark):
     assert got[5].shared_chars == got[5].n_chars == 300
 
 
+def test_share_is_exact(spark):
+    """Stock phrases under the bound, runs at it, many holders, repeats in one text and copies, against all windows."""
+    r = random.Random(6)
+    phrase, longer, stock, wide = text(r, 150), text(r, 200), text(r, 240), text(r, 310, "éà’°漢字")
+    docs = [(i, text(r, 90) + phrase + text(r, 90)) for i in range(6)]
+    docs += [(10 + i, text(r, 40 + i) + longer + text(r, 30)) for i in range(3)]
+    docs += [(100 + i, text(r, 60) + stock[: 200 + i % 41] + text(r, 60)) for i in range(60)]
+    docs += [(200 + i, text(r, 60) + wide + text(r, 60)) for i in range(3)] + [(300, longer + wide + text(r, 20)), (301, "ab" * 300), (302, "x" + "ab" * 150)]
+    df = spark.createDataFrame([(d, t, 0, 0, "x") for d, t in docs], SCHEMA).repartition(3)
+    got = {x.doc_id: x.shared_chars for x in spans.shared_share(df).collect()}
+    held = {}
+    for d, t in docs:
+        for i in range(len(t) - 199):
+            held.setdefault(t[i : i + 200], set()).add(d)
+    want = {d: len({k for i in range(len(t) - 199) if len(held[t[i : i + 200]]) > 1 for k in range(i, i + 200)}) for d, t in docs}
+    assert got == want and want[0] == 0 and want[10] >= 200
+
+
 def test_bounds():
     with pytest.raises(ValueError):
         spans.SharedSpans(None, min_chars=10)

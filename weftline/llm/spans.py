@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.groups import over_groups
 from weftline.session import cut
 
 MIN_CHARS = 200
@@ -276,16 +277,91 @@ class SharedSpans:
         return across.union(inside)
 
     def coverage(self) -> DataFrame:
-        """(doc, shared_chars): code points of each text inside digests that another text holds too; a text with an exact
-        copy counts as a whole (null here)."""
-        per = self.shared.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
-        rows = self.shared.join(per, "h", "left_semi").groupBy("doc", "pos").agg(F.max(F.expr("pos + n")).alias("stop"))
+        """(doc, shared_chars): code points of each text inside runs of min_chars or more that another text holds too; a text
+        with an exact copy counts as a whole (null here).
+
+        Every window of min_chars characters holds a digest, so the windows around the shared digests are all that can be
+        shared: those of a digest are compared where they meet, those of a hot one by their own digests."""
+        least = self.min_chars
+        per = self.shared.groupBy("h", "doc").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("holders"), F.max("k").alias("k")).filter("holders > 1")
+        is_hot = (F.col("holders") > HOT_HOLDERS) | (F.col("k") > HOT_REPEATS)
+        rows = cut(self.shared.join(per.select("h", is_hot.alias("hot")), "h"), "holders")
+        bits = _bits(rows.select("doc"))
+        spots = rows.join(self.docs.filter(_may_hold(bits, F.col("doc"))), "doc").withColumn("lo", F.greatest(F.lit(0), F.expr(f"pos + n - {least}")))
+        ctx = spots.select("h", "hot", "doc", "lo", (F.col("pos") - F.col("lo")).cast("int").alias("off"), F.col("n").cast("int").alias("n"), F.expr(f"substring(text, int(lo + 1), int(pos - lo + {least}))").alias("ctx"))
+        ctx = cut(ctx, "context")
+        cold = over_groups(ctx.filter("NOT hot"), ["h"], ["doc", "lo", "off", "n", "ctx"], _runs(least), "doc long, pos long, stop long")
+        split = ctx.filter("hot").select("doc", "lo", "off", "n", "ctx").mapInArrow(_placed_windows(least), "d1 long, d2 long, doc long, pos long")
+        two = split.groupBy("d1", "d2").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("d1", "d2")
+        hot = split.join(two, ["d1", "d2"], "left_semi").select("doc", "pos", (F.col("pos") + least).alias("stop"))
+        rows = cold.union(hot).groupBy("doc", "pos").agg(F.max("stop").alias("stop"))
         w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
         new = rows.withColumn("reached", F.coalesce(F.max("stop").over(w), F.lit(0)))
         own = new.groupBy("doc").agg(F.sum(F.expr("greatest(0, stop - greatest(pos, reached))")).alias("shared_chars"))
         return own
 
 
+def _common(a: str, b: str) -> int:
+    """Characters that two texts begin with alike."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            n = mid
+    return lo
+
+
+def _runs(least: int):
+    """The intervals of each holder of a digest that lie in a run of `least` characters of another text. Contexts reach as far
+    as a window with the digest does."""
+
+    def walk(key: tuple, rows: list[tuple]) -> list[tuple]:
+        out, by = [], {}
+        for doc, lo, off, n, ctx in rows:
+            by.setdefault((ctx[off : off + n], ctx[:off][::-1], ctx[off + n :]), []).append((doc, lo, off))
+        kinds = list(by)
+        for k, (mid, left, right) in enumerate(kinds):
+            here = by[kinds[k]]
+            docs, whole = {d for d, *_ in here}, len(left) + len(mid) + len(right)
+            if len(docs) > 1:
+                if whole >= least:
+                    out += [(d, lo, lo + whole) for d, lo, _ in here]
+                continue
+            runs = set()
+            for m, (mid2, left2, right2) in enumerate(kinds):
+                if m != k and mid2 == mid and any(d not in docs for d, *_ in by[kinds[m]]):
+                    x, y = _common(left, left2), _common(right, right2)
+                    if x + len(mid) + y >= least:
+                        runs.add((x, y))
+            out += [(d, lo + off - x, lo + off + len(mid) + y) for d, lo, off in here for x, y in runs]
+        return out
+
+    return walk
+
+
+def _placed_windows(least: int):
+    """As _windows, with the place of each window."""
+    import hashlib
+
+    def walk(batches):
+        for b in batches:
+            d, docs, at = [], [], []
+            for doc, lo, off, n, ctx in zip(*[x.to_pylist() for x in b.columns]):
+                for s in range(max(0, off + n - least), min(off, len(ctx) - least) + 1):
+                    d.append(hashlib.blake2b(ctx[s : s + least].encode(), digest_size=16).digest())
+                    docs.append(doc)
+                    at.append(lo + s)
+            h = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(at, pa.int64())], names=["d1", "d2", "doc", "pos"])
+
+    return walk
+
+
 def _compare(least: int):
     def walk(batches):
         for b in batches:
@@ -329,7 +405,7 @@ def shared_span_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def shared_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, share): how much of each text also stands elsewhere, by chunks.
+    """(doc_id, n_chars, shared_chars, share): how much of each text stands elsewhere, in runs of min_chars or more.
 
     Null texts have null counts, empty and short ones 0."""
     s = SharedSpans(docs, id_col, text_col, min_chars)
