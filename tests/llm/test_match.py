@@ -94,6 +94,17 @@ def test_one_key_in_all_rows(spark):
     assert len(got & {(i, 1000 + i) for i in range(400)}) >= 396
 
 
+@pytest.mark.parametrize("block_rows", [400, 20])
+def test_long_runs_of_equal_keys(spark, monkeypatch, block_rows):
+    """One name without house numbers in all rows; added words and misspelt ones part the partners in the sort order."""
+    monkeypatch.setattr(match.run_pairs, "__defaults__", (block_rows,))
+    r = random.Random(9)
+    one = [(i, "same name", f"{made_word(i)} st {made_word(5000 + i)} qu", "", "us") for i in range(300)]
+    other = [(1000 + i, "same name", f"{r.choice(['a', 'z'])}{made_word(9000 - i)}xx {made_word(i)} st {made_word(5000 + i)}", "", "us") for i in range(300)]
+    got = run(spark, one, [*other, (2000, "same name", "", "", "us")], parts=3, run_rows=97)
+    assert {(i, 1000 + i) for i in range(300)} | {(0, 2000)} == got
+
+
 def test_sketch():
     s = sketch.sketches([b"abcdef", b"abcdef", b"xyz", b"", b"a"])
     d, o = sketch.dice_and_overlap(s[[0, 0, 3, 0]], s[[1, 2, 4, 3]])

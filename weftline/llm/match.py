@@ -7,9 +7,11 @@ after it. The comparison weighs field similarities: name, address words, house n
 go on, and the assignment that maximises the total confidence is made: a record of the other sources belongs to one record
 of source 1 at most while one of source 1 may hold many, so the best partner of each is that assignment.
 
-Equal keys are told apart by further fields and at last by a hash of the id, so a key with a third of all rows is spread over
-many tasks; the rows at the ends of a task's range are compared across it in a second, small step. Nothing is capped but
-the window, which is the method's own.
+Equal keys are told apart by address word and code and at last by a hash of the id, so a key with a third of all rows is spread over
+many tasks; the rows at the ends of a task's range are compared across it in a second, small step. Runs of equal keys that
+are longer than a window are compared as a whole: all pairs of their distinct texts in runs of up to BLOCK_ROWS, longer ones
+in blocks of equal address words, codes and numbers, which are split by a further one while they are longer. A text that has
+no further one meets its whole block.
 
 Words that stand in at least COMMON_SHARE of the records are taken as common; there are at most the mean number of words in a
 record divided by that share, so the list is small at any size. Null and empty fields are no evidence. Records without a
@@ -41,6 +43,10 @@ LEAST = 0.5
 #: Rows that are compared at once in a task.
 RUN_ROWS = 20_000
 SAMPLE_ROWS = 60
+#: Distinct texts of a block of which all pairs are compared.
+BLOCK_ROWS = 400
+#: What parts a sort key from the fields that only order equal keys, and the mark of rows in long runs.
+PART, LONG = "\x1f", -1
 
 #: Labels of one country.
 COUNTRY_LABELS = {"us": "us", "usa": "us", "united states": "us", "in": "in", "india": "in", "bharat": "in", "fr": "fr", "france": "fr", "ca": "ca", "canada": "ca"}
@@ -90,12 +96,15 @@ def sort_keys(name: list[str], common: set[str], words: list[str], common_words:
     place = bones(at[0]) if at else ""
     # composite keys of shortened fields, as the method has them; the texts themselves are compared whole
     back, number = first[::-1], number[:8]
+    long = max(code, key=len)[:10] if code else ""
+    # what orders equal keys
+    at = f"{PART}{place[:5]}{long[:6]}"
     return [
-        f"{first[:9]}|{whole[:8]}|{number}" if rare else f"{whole[:24]}|{number}",
-        f"{back[:9]}|{number}|{place[:3]}",
-        f"{''.join(map(bones, name))[:14]}|{number}",
-        f"{place[:9]}|{number}|{first[:3]}" if place else "",
-        f"{max(code, key=len)[:10]}|{number}|{first[:3]}" if code and number else "",
+        f"{first[:9]}|{whole[:8]}|{number}{at}" if rare else f"{whole[:24]}|{number}{at}",
+        f"{back[:9]}|{number}|{place[:3]}{at}",
+        f"{''.join(map(bones, name))[:14]}|{number}{at}",
+        f"{place[:9]}|{number}|{first[:3]}{PART}{long[:6]}" if place else "",
+        f"{long}|{number}|{first[:3]}{PART}{place[:5]}" if code and number else "",
     ]
 
 
@@ -304,6 +313,24 @@ def _slide(compare: _Compare, run_rows: int):
         types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([*p.columns, *[pa.nulls(n, t) for t in types]], names=["e1", "cid", "conf", "border", "pos", *_FIELDS])
 
+    def long_runs(t: pa.Table, ends: bool) -> pa.RecordBatch:
+        """The rows in runs of equal keys longer than the window; with ends also those of the first and last run, which may
+        go on in another task."""
+        n = t.num_rows
+        base = pc.list_element(pc.split_pattern(t.column("key"), PART, max_splits=1), 0).combine_chunks().dictionary_encode()
+        base = base.combine_chunks() if isinstance(base, pa.ChunkedArray) else base
+        at, kid = base.indices.to_numpy(), t.column("kid").to_numpy()
+        start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (kid[1:] != kid[:-1])])
+        size = np.diff(np.r_[start, n])
+        use = size > w
+        if ends:
+            use[0] = use[-1] = True
+        t = t.filter(pa.array(np.repeat(use, size))).combine_chunks()
+        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+        n = t.num_rows
+        nothing = [pa.nulls(n, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array([LONG] * n, pa.int32()), *cols], names=["e1", "cid", "conf", "border", "pos", *_FIELDS])
+
     def once(t: pa.Table) -> pa.Table:
         """Without repeated rows, which are neighbours in this order."""
         if t.num_rows < 2:
@@ -328,6 +355,8 @@ def _slide(compare: _Compare, run_rows: int):
                 head_left -= min(head_left, new.num_rows)
             rows = pa.concat_tables([last, new]) if last is not None else new
             yield found(compare.pairs(rows))
+            if rows.num_rows:
+                yield long_runs(rows, head_left < w and last is None)
             last = rows.slice(max(0, rows.num_rows - w))
 
         for b in batches:
@@ -340,6 +369,8 @@ def _slide(compare: _Compare, run_rows: int):
         if held:
             yield from run()
         if last is not None:
+            if last.num_rows:
+                yield long_runs(last, True)
             yield edge(last, part, 0)
 
     return walk
@@ -370,7 +401,7 @@ def candidate_pairs(records: DataFrame, window: int = WINDOW, least: float = LEA
     keyed = rows.mapInArrow(_keyed(common, bounds), f"rng int, {_FIELD_TYPES}")
     along = keyed.repartitionById(len(bounds) + 1, "rng").drop("rng").sortWithinPartitions("kid", "key", "tie")
     slid = cut(along.mapInArrow(_slide(compare, run_rows), f"e1 long, cid long, conf double, border long, pos int, {_FIELD_TYPES}"), "window")
-    inside = slid.filter("border IS NULL").select(F.col("e1").alias("eid"), "cid", "conf")
+    inside = slid.filter("border IS NULL AND pos IS NULL").select(F.col("e1").alias("eid"), "cid", "conf")
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -378,7 +409,63 @@ def candidate_pairs(records: DataFrame, window: int = WINDOW, least: float = LEA
         return compare.pairs(t, int((pdf["pos"] < window).sum())).to_pandas()
 
     edges = slid.filter("border IS NOT NULL").groupBy("border").applyInPandas(across, "eid long, cid long, conf double")
-    return inside.unionByName(edges)
+    return inside.unionByName(edges).unionByName(run_pairs(slid.filter(F.col("pos") == LONG).select("kid", "key", "tie", "src", "texts"), compare))
+
+
+def _tokens(rows: DataFrame) -> DataFrame:
+    """texts, with what may be shared by two addresses: the consonants of the words, and the numbers."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [x.split("\t") for x in b.column("texts").to_pylist()]
+            toks = [sorted({bones(w) for w in p[1].split()} | {"#" + u for u in p[2].split()}) for p in parts]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(toks, pa.list_(pa.string()))], names=[*b.schema.names, "toks"])
+
+    return rows.mapInArrow(walk, "run long, src int, texts string, id long, toks array<string>")
+
+
+def _scored(compare: _Compare):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            both = pa.chunked_array([b.column("ta"), b.column("tb")])
+            parts = pc.split_pattern(both, "\t")
+            conf = Records(*[pc.list_element(parts, k) for k in range(4)], *compare.common).confidence(np.arange(n), np.arange(n, 2 * n))
+            ok = pa.array(conf >= compare.least)
+            yield pa.RecordBatch.from_arrays([b.column("eid").filter(ok), b.column("cid").filter(ok), pa.array(conf.astype(np.float64)).filter(ok)], names=["eid", "cid", "conf"])
+
+    return walk
+
+
+def run_pairs(rows: DataFrame, compare: _Compare, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(eid, cid, conf) of the pairs within long runs of equal keys. Equal texts are compared once: of source 1 the smallest id
+    stands for them, as in assign, the others come back at the end."""
+    ids = F.pandas_udf(lambda x: pd.Series(gather(np.ascontiguousarray(x.to_numpy()))), "long")
+    run = F.xxhash64("kid", F.substring_index("key", PART, 1))
+    rows = rows.select(run.alias("run"), F.when(F.col("src") == 1, 1).otherwise(2).alias("src"), "texts", ids("tie").alias("id"))
+    # runs with both sides
+    two = rows.groupBy("run").agg(F.min("src").alias("lo"), F.max("src").alias("hi"), F.count_distinct("id").alias("n")).filter(f"lo < hi AND n > {compare.window}").select("run")
+    rows = cut(rows.join(two, "run", "left_semi").distinct(), "runs")
+    level = cut(_tokens(rows.groupBy("run", "src", "texts").agg(F.min("id").alias("id"))).select(F.col("run").alias("block"), "src", "texts", "id", "toks", F.array().cast("array<string>").alias("used"), "run"), "run_texts")
+    found = None
+    while True:
+        size = level.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+        sized = cut(level.join(size, "block").withColumn("met", F.expr(f"size <= {block_rows} OR size(toks) = size(used)")), "blocks")
+        a, b = sized.filter("src = 1").alias("a"), sized.filter("src = 2").alias("b")
+        pairs = a.filter("met").join(b, F.expr("a.block = b.block")).union(a.filter("NOT met").join(b.filter("met"), F.expr("a.block = b.block"))).select(F.expr("a.id AS eid"), F.expr("b.id AS cid"), F.expr("a.texts AS ta"), F.expr("b.texts AS tb"))
+        some = cut(pairs.mapInArrow(_scored(compare), "eid long, cid long, conf double"), "run_pairs")
+        found = some if found is None else found.unionByName(some)
+        more = sized.filter(f"size > {block_rows} AND NOT met").select("run", "src", "texts", "id", "toks", F.explode(F.array_except("toks", "used")).alias("t"), "used")
+        more = more.withColumn("used", F.array_sort(F.array_append("used", F.col("t")))).drop("t").withColumn("block", F.xxhash64("run", "used")).distinct()
+        level = cut(more.select("block", "src", "texts", "id", "toks", "used", "run"), "run_texts")
+        if level.isEmpty():
+            break
+    best = found.groupBy("cid").agg(F.max(F.struct("conf", (-F.col("eid")).alias("neg"))).alias("b")).select("cid", (-F.col("b.neg")).alias("eid"), F.col("b.conf").alias("conf"))
+    same = rows.filter("src = 2").select("run", "texts", "id")
+    of = same.groupBy("run", "texts").agg(F.min("id").alias("cid")).join(same, ["run", "texts"]).select("cid", "id").distinct()
+    return best.join(of, "cid").select("eid", F.col("id").alias("cid"), "conf")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
