@@ -87,6 +87,14 @@ def test_small_and_empty_tables(spark):
     assert pairs(spark, [(1, "w " * 3000), (2, "w " * 3000)]) == {(1, 2)}
 
 
+def test_all_spellings_of_a_block_are_compared(spark):
+    """The right form stands behind a better and before many other texts of the same consonants."""
+    fill = ["kulemetuno", "kolumotine", "kelomuteni", "kiloumetane", "kulamitenu", "kolimeteno", "kelamutoni", "kulomatine", "kilumotena"]
+    rows = [("", "kulemitani", 200), ("", "kalimatoro", 100), *[("", f.replace("n", "r"), 50 - i) for i, f in enumerate(fill)], ("", "kalimatoru", 1)]
+    root = {r.core: r.root for r in canon.attach(spark.createDataFrame([(p, c.replace("n", "r"), k) for p, c, k in rows], "part string, core string, k long")).collect()}
+    assert root["kalimatoru"] == root.get("kalimatoro", "kalimatoro")
+
+
 def test_channel():
     assert names.is_abbreviation("gmts", "garments") and names.is_abbreviation("prtg", "printing") and names.is_abbreviation("flor", "florist")
     assert not names.is_abbreviation("tools", "tiles") and not names.is_abbreviation("garments", "gmts")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.match import bones
@@ -15,8 +15,6 @@ from weftline.session import cut
 
 #: Sketches this alike are spellings of one text; those above LEAST_DICE only with few edits.
 LEAST_DICE, SURE_DICE, MOST_EDITS = 0.5, 0.75, 3
-#: Neighbours in rank order that a text of a block is compared with, besides the block's first.
-NEAR = 6
 
 
 def deletions(b: str) -> set[str]:
@@ -101,14 +99,12 @@ def _scores(drop_words: bool):
 def attach(cores: DataFrame, drop_words: bool = True) -> DataFrame:
     """(part, core, root): every text that is attached, with its canonical text. cores: part, core, k (how often it stands).
 
-    A text goes to that of higher rank (k, then smaller text) with the highest log k + 6 * dice; those that are attached
+    A text goes to that of higher rank (k, then smaller text) with the highest log k + 6 * dice, of all that share a block with it; those that are attached
     themselves pass their followers on until all stand at a text that is attached to none. Without drop_words, a text with
     one word more, or with another word, is another text."""
     blocks = cut(cores.select("part", "core", "k").mapInArrow(_blocks, "key string, part string, core string, k long"), "core_keys")
-    w = Window.partitionBy("part", "key").orderBy(F.desc("k"), "core")
-    near = blocks.withColumns({f"to{d}": F.lag("core", d).over(w) for d in range(1, NEAR + 1)} | {f"k{d}": F.lag("k", d).over(w) for d in range(1, NEAR + 1)} | {"to0": F.first("core").over(w), "k0": F.first("k").over(w)})
-    pairs = near.select("part", "core", F.explode(F.array(*[F.struct(F.col(f"to{d}").alias("to"), F.col(f"k{d}").alias("k")) for d in range(NEAR + 1)])).alias("p")).select("part", "core", "p.to", "p.k")
-    pairs = pairs.filter("to IS NOT NULL AND to <> core").distinct()
+    better = "x.part = y.part AND x.key = y.key AND (y.k > x.k OR (y.k = x.k AND y.core < x.core))"
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr(better)).select("x.part", "x.core", F.col("y.core").alias("to"), "y.k").distinct()
     scored = pairs.mapInArrow(_scores(drop_words), "part string, core string, to string, k long, dice double").filter(F.col("dice") >= LEAST_DICE)
     post = F.log("k") + 6 * F.col("dice")
     up = cut(scored.groupBy("part", "core").agg(F.max(F.struct(post.alias("p"), "to")).alias("b")).select("part", "core", F.col("b.to").alias("root")), "cores")
