@@ -76,9 +76,46 @@ def test_empty_and_long(spark):
 
 
 def test_reading():
-    rest, regions, kinds, dirs, house, code = places.read("unit n great granary raod nr bank depot town abc", "12 85 56650")
-    assert (rest, regions, kinds, dirs, house, code) == (["great", "granary", "town"], ["abc"], ["rd"], ["n"], ["85", "12"], ["56650"])
-    assert places.read("granary st town door", "85 12")[4][0] == "85"
-    assert places.read("shop fourteen granary st town", "4")[4][0] == "14"
+    a = places.Address("unit n great granary raod nr bank depot town abc", "12 85 56650")
+    assert ([x for _, x in a.rest], a.regions, [k[2] for k in a.kinds], a.dirs, a.codes) == (["great", "granary", "town"], ["abc"], ["rd"], ["n"], ["56650"])
+    assert a.numbers(set(), a.rest[0][0]) == ["85", "12"]
+    assert places.Address("granary st town door", "85 12").numbers(set(), 0)[0] == "85"
+    assert places.Address("shop fourteen granary st town", "4").numbers(set(), 2)[0] == "14"
     assert places.kind_of("sreet") == "st" and places.kind_of("avneue") == "ave" and places.kind_of("park") is None
     assert ("833064", "833", "64") in places.joined_codes(["833", "64", "350"])
+
+
+def test_house_number_among_others():
+    a = places.Address("town abc flr granary st", "22014 3151 61 39")  # a code with its extension, a floor, the house
+    assert a.numbers(set(), 3)[0] == "39" and "3151" not in a.house
+    assert places.Address("shop 59b granary st", "12 59").numbers(set(), 2)[0] == "59"
+    many = places.Address("granary st", " ".join(map(str, range(1, 40))))
+    assert len(many.numbers(set(), 0)) == 39  # none is dropped before the beam
+
+
+def test_street_readings():
+    def read(w):
+        a = places.Address(w, "1")
+        return a.streets(a.rest)
+
+    assert read("st orchard col")[0][:2] == ("st orchard", "col") and read("orchard st")[0][:2] == ("orchard", "st")
+    assert [r[:2] for r in read("st river")] == [("st river", ""), ("river", "st")]
+    assert [r[:2] for r in read("canalrd")] == [("canal", "rd"), ("canalrd", "")]
+    assert [r[:2] for r in read("terlasfurhun")] == [("terlasfurhun", ""), ("lasfurhun", "ter")]
+    assert read("rue de la river")[0][:2] == ("river", "r")
+
+
+def test_further_directions_and_missing_ones():
+    assert places.Address("n w granary st", "1").dirs == ["n", "w"]
+    # as many or half without a direction: it was left out; twice as many: the street without one
+    assert places.split_forms([("st", "n", 2), ("st", "", 2)]) == [0, 0]
+    assert places.split_forms([("st", "n", 2), ("st", "", 4)]) == [0, 1]
+
+
+def test_glued_direction_and_word_that_names_no_town(spark):
+    rows, _ = corpus(3)
+    more = {7000: ("e harbour rd berpormirpol map", "12 55555"), 7001: ("eharbour rd berpormirpol map", "12 55555"), 7002: ("e harbour rd berpormirpol", "12 55555"), 7003: ("harbour rd e berpormirpol map", "12 55555")}
+    more |= {7010 + i: (f"upper {w} st {t}", f"{i + 20} {c}") for i, (w, t, c) in enumerate(zip(["mill", "park", "lake", "gate"] * 3, ["berpormirpol"] * 6 + ["sonkirvaltes"] * 6, ["55555"] * 6 + ["66666"] * 6))}
+    got = pairs(spark, rows + [(k, *v) for k, v in more.items()])
+    assert {p for p in got if 7000 <= p[0] < 7010} == set(itertools.combinations(range(7000, 7004), 2))
+    assert not [p for p in got if p[0] >= 7010]

@@ -74,6 +74,10 @@ def _other_word(a: list[str], b: list[str]) -> bool:
     """Whether two texts differ by a whole word: one more, or another one in the same place."""
     if set(a) < set(b) or set(b) < set(a):
         return True
+    if abs(len(a) - len(b)) == 1:  # a word more beside misspelt others, not a word that is split
+        long, short = (a, "".join(b)) if len(a) > len(b) else (b, "".join(a))
+        whole = edits("".join(long), short, 3)
+        return any(edits("".join(long[:i] + long[i + 1 :]), short, 2) < min(whole, 3) for i in range(len(long)))
     return len(a) == len(b) and any(p != q and edits(p, q, 3) > (1 if min(len(p), len(q)) <= 5 else 3) for p, q in zip(a, b))
 
 
