@@ -60,6 +60,30 @@ def test_variants_and_other_organisations(spark):
     assert len(want & got) > 0.97 * len(want) and len(got - want) < 0.03 * len(want)
 
 
+def test_readings_of_a_token(spark):
+    """A piece of a coined word that looks like a word, a given name and a line of business glued to it: what others write decides."""
+    rows, _ = corpus(2)
+    more = {5000: "joseph sonkirvestal photo", 5001: "joseph son kirvestal photo", 5002: "josephsonkirvestal photo", 5003: "joseph sonkirvestalphoto"}
+    more |= {5020: "harold velkinros dartumas pumps", 5021: "harold dartumas velkinros pumps", 5022: "harold dartumsa velkinrso pumps"}
+    got = pairs(spark, rows + list(more.items()))
+    same = [(5000, 5004), (5020, 5023)]
+    assert {p for ids in same for p in itertools.combinations(range(*ids), 2)} <= got
+    assert not [p for p in got if p[0] < 5000 <= p[1] or (p[0] >= 5000 and p[0] // 10 != p[1] // 10)]
+
+
+def test_consonants_alone_make_no_word():
+    v = names.Vocabulary([("glass", 50, 0, 40), ("photo", 50, 0, 40), ("yves", 50, 45, 40)], 1000)
+    assert v.readings("gilsusheses photo") == [[names.COINED + "gilsusheses", "photo"]]
+    assert v.readings("yvesmarkundol")[1] == ["yves", names.COINED + "markundol"]
+    assert v.parse("gls mr markundol 12 ph0to")[2] == ["photo"]
+
+
+def test_long_texts_have_few_keys():
+    assert len(canon.deletions("b" + "dk" * 500)) == 3 and len(canon.keys_of("wort " * 3000)) < 100
+    a, b = "bdkl" * 20, "bdkl" * 12 + "bdk" + "bdkl" * 7  # one letter left out of the second half
+    assert canon.deletions(a) & canon.deletions(b)
+
+
 def test_organisation_with_a_third_of_all_rows(spark):
     """Its coined word stands beside many misspellings of its other words and is a core all the same."""
     r = random.Random(5)

@@ -15,10 +15,15 @@ from weftline.session import cut
 
 #: Sketches this alike are spellings of one text; those above LEAST_DICE only with few edits.
 LEAST_DICE, SURE_DICE, MOST_EDITS = 0.5, 0.75, 3
+#: Letters above which a text is blocked by its ends, and words above which its order is blocked by the sorted words.
+LONG, MANY_WORDS = 40, 8
 
 
 def deletions(b: str) -> set[str]:
-    """A text and, from four letters on, the texts with one letter left out."""
+    """A text and, from four letters on, the texts with one letter left out. Of a long text its two ends stand for those: one of
+    them bears any single edit."""
+    if len(b) > LONG:
+        return {b, "<" + b[: LONG // 2], ">" + b[-LONG // 2 :]}
     return {b} | ({b[:i] + b[i + 1 :] for i in range(len(b))} if len(b) >= 4 else set())
 
 
@@ -40,10 +45,10 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def keys_of(text: str) -> list[str]:
-    """Blocking keys: the consonants, those with one left out, for every rotation of the words; long words, and the text
+    """Blocking keys: the consonants, those with one left out, for every rotation of the words (of many words as they stand and sorted); long words, and the text
     without one word."""
     words = text.split()
-    turns = {"".join(words[i:] + words[:i]) for i in range(min(len(words), 8))}
+    turns = {"".join(words[i:] + words[:i]) for i in range(len(words))} if len(words) <= MANY_WORDS else {"".join(words), "".join(sorted(words))}
     out: set[str] = set()
     for t in turns:
         out |= deletions(bones(t))
@@ -93,7 +98,9 @@ def _scores(drop_words: bool):
                 other = np.array([_other_word(p.split(), q.split()) for p, q in zip(x, y)], bool)
                 score = np.where(other, 0.0, d).astype(np.float64)
             for i in np.flatnonzero((score >= LEAST_DICE) & (score < SURE_DICE)):
-                if edits(x[i].replace(" ", ""), y[i].replace(" ", ""), MOST_EDITS) > MOST_EDITS:
+                p, words = x[i].replace(" ", ""), y[i].split()
+                turns = range(len(words) if drop_words and len(words) <= MANY_WORDS else 1)
+                if all(edits(p, "".join(words[t:] + words[:t]), MOST_EDITS) > MOST_EDITS for t in turns):
                     score[i] = 0.0
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=["part", "core", "to", "k", "dice"])
 
@@ -103,11 +110,11 @@ def _scores(drop_words: bool):
 def attach(cores: DataFrame, drop_words: bool = True) -> DataFrame:
     """(part, core, root): every text that is attached, with its canonical text. cores: part, core, k (how often it stands).
 
-    A text goes to that of higher rank (k, then smaller text) with the highest log k + 6 * dice, of all that share a block with it; those that are attached
+    k is 0 where a text is only a reading that nothing goes to. A text goes to that of higher rank (k, then smaller text) with the highest log k + 6 * dice, of all that share a block with it; those that are attached
     themselves pass their followers on until all stand at a text that is attached to none. Without drop_words, a text with
     one word more, or with another word, is another text."""
     blocks = cut(cores.select("part", "core", "k").mapInArrow(_blocks, "key string, part string, core string, k long"), "core_keys")
-    better = "x.part = y.part AND x.key = y.key AND (y.k > x.k OR (y.k = x.k AND y.core < x.core))"
+    better = "x.part = y.part AND x.key = y.key AND y.k > 0 AND (y.k > x.k OR (y.k = x.k AND y.core < x.core))"
     pairs = blocks.alias("x").join(blocks.alias("y"), F.expr(better)).select("x.part", "x.core", F.col("y.core").alias("to"), "y.k").distinct()
     scored = pairs.mapInArrow(_scores(drop_words), "part string, core string, to string, k long, dice double").filter(F.col("dice") >= LEAST_DICE)
     post = F.log("k") + 6 * F.col("dice")

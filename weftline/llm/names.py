@@ -6,7 +6,8 @@ word that explains it best, by a prior from its frequency and the likelihood of
 (learned: both occur with the same rare words far more often than chance). What is left of a name is its core, the coined
 word or words. Cores are ranked by frequency as candidate canonical forms and each attached to its maximum posterior. Names with
 one core are the forms of few organisations: the frequent, complete forms (given name, lines of business) are canonical, and
-every other form goes to the compatible canonical form with the highest posterior. A form with another given name (not a short
+every other form goes to the compatible canonical form with the highest posterior. A token may be read in two ways (a short form or
+a piece of a coined word, glued words or one); the reading whose core most names have is taken. A form with another given name (not a short
 form or initial) or another line of business is not compatible; missing, added or generic words are no contradiction.
 
 Names are taken once per spelling with their counts, forms once per core, so a frequent name weighs no more than a rare one until
@@ -20,6 +21,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from weftline.llm.canon import attach, edits
 from weftline.llm.groups import over_groups
 from weftline.llm.match import ADDED, bones
+from weftline.llm.sketch import dice_and_overlap, sketches
 from weftline.operators.combine import tokens_of
 from weftline.session import cut
 
@@ -38,6 +41,11 @@ RARE_NAMES, RARE_SHARE, RARE_LETTERS = 60, 0.05, 6
 #: Edits within which a word is a spelling of a companion.
 NEAR_EDITS = 2
 GENERIC_SHARE = 0.05
+#: What another reading of a name and one without a coined word lose against the likely one, as log-likelihoods, and the letters up
+#: to which a misspelt word may be a piece of a coined one.
+OTHER_READING, LONE, WEAK_LETTERS = 0.6, 3.0, 5
+#: The marks of coined words and initials in a reading.
+COINED, INITIAL = "\x01", "\x02"
 
 #: Digits typed for letters.
 LOOKALIKES = str.maketrans("0134578", "oleastb")
@@ -124,7 +132,7 @@ class Vocabulary:
                 continue
             most = 2 if len(w) >= 8 and len(t) >= 7 else 1 if len(w) >= 5 else 0
             k = edits(t, w, most) if most else 9
-            cost = 2.0 * k if k <= most else 2.5 if w == same else 2.5 if len(t) >= 3 and w.startswith(t) else 3.5 if is_abbreviation(t, w) else None
+            cost = 2.0 * k if k <= most else 2.5 if w == same and abs(len(t) - len(w)) <= 2 else 2.5 if len(t) >= 3 and w.startswith(t) else 3.5 if is_abbreviation(t, w) else None
             if cost is not None and math.log(self.n[w]) - cost > score:
                 best, score = w, math.log(self.n[w]) - cost
         if best is None and len(t) >= 6:  # a typo in the first letter
@@ -133,43 +141,49 @@ class Vocabulary:
                     return w
         return best
 
-    def _word(self, t: str) -> tuple[str, ...] | None:
-        """The canonical words that a token stands for: one, or two where it is glued; None for a coined word."""
+    def _word(self, t: str) -> tuple[tuple[str, ...], tuple[str, ...] | None]:
+        """The likely reading of a token and another one: words of the vocabulary, and what is coined behind a mark."""
         if t in self.canon:
-            return (self.canon[t],)
+            return (t,), None
+        coined = (COINED + t,)
         if len(t) < 3:
-            return None
+            return coined, None
         w = self.explain(t)
         if w:
-            return (self.canon[w],)
+            # short pieces and beginnings may be coined after all
+            return (w,), coined if len(t) <= WEAK_LETTERS or edits(t, w, 2) > 2 else None
         if len(t) >= 9:
             for k in range(4, len(t) - 2):
                 a, b = t[:k], t[k:]
                 for x, y in ((a, b), (b, a)):
                     if len(x) >= 5 and x in self.canon:
-                        other = (self.canon[y],) if y in self.canon else None
-                        if other is None and len(y) >= 3:
-                            v = self.explain(y)
-                            other = (self.canon[v],) if v else None
+                        other = y if y in self.canon else self.explain(y) if len(y) >= 3 else None
                         if other:
-                            return (self.canon[x], *other)
+                            return (x, other), None
             for k in range(4, len(t) - 3):
                 a, b = t[:k], t[k:]
                 if len(a) >= 5 and a in self.canon:
-                    return (self.canon[a], "\0" + b)
+                    return (a, COINED + b), coined
                 if len(b) >= 5 and b in self.canon:
-                    return (self.canon[b], "\0" + a)
-        return None
-
-    def _remember(self, t: str) -> tuple[str, ...] | None:
+                    return (b, COINED + a), coined
+        if len(t) >= 8:
+            for k in range(len(t) - 5, 2, -1):  # the longest word first: a short one, or one of the same consonants
+                for x, y in ((t[:k], t[k:]), (t[-k:], t[:-k])):
+                    v = x if x in self.canon else self.bones.get(bones(x)) if k >= 5 else None
+                    if v and (v == x or edits(x, v, 2) <= 2):
+                        return coined, (v, COINED + y)
+        return coined, None
+
+    def _remember(self, t: str) -> tuple[tuple[str, ...], tuple[str, ...] | None]:
         if len(self.memo) > 1 << 18:
             self.memo.clear()
         got = self.memo[t] = self._word(t)
         return got
 
-    def parse(self, name: str) -> tuple[list[str], list[str], list[str], list[str]]:
-        """(core words, leads, lines, initials) of a name."""
-        core, leads, lines, short = [], [], [], []
+    def readings(self, name: str) -> list[list[str]]:
+        """The readings of a name as words, coined words and initials (behind their marks), the likely one first. Each other
+        one reads one token in another way."""
+        items: list[tuple[tuple[str, ...], tuple[str, ...] | None]] = []
         for t in name.split():
             if any(c.isdigit() for c in t):
                 if t.isdigit():
@@ -178,42 +192,72 @@ class Vocabulary:
             if t in ADDED:
                 continue
             if len(t) <= 2 and self.kind.get(self.canon.get(t, ""), "") != "lead":
-                short.append(t)
-                continue
-            got = self.memo[t] if t in self.memo else self._remember(t)
-            if got is None:
-                (core if len(t) >= 3 else short).append(t)
+                items.append(((INITIAL + t,), None))
                 continue
-            for w in got:
-                if w[0] == "\0":
-                    core.append(w[1:])
-                elif self.kind[w] == "lead":
-                    leads.append(w)
+            items.append(self.memo[t] if t in self.memo else self._remember(t))
+        new = [any(x[0] == COINED for x in main) for main, _ in items]
+        out = [[x for main, _ in items for x in main]]
+        for i, (main, other) in enumerate(items):
+            if other and (new[i] or not any(new) or (i and new[i - 1]) or (i + 1 < len(new) and new[i + 1])):
+                out.append([x for j, (m, _) in enumerate(items) for x in (other if j == i else m)])
+        return out
+
+    def sorted_out(self, items: list[str], name: str) -> tuple[str, str, str, str, bool]:
+        """(core, leads, lines, initials, lone) of a reading; a name of common words only is lone, they are its core."""
+        core, leads, lines, short = [], set(), set(), []
+        for x in items:
+            if x[0] == COINED:
+                core.append(x[1:])
+            elif x[0] == INITIAL:
+                short.append(x[1:])
+            else:
+                w = self.canon[x]
+                if self.kind[w] == "lead":
+                    leads.add(w)
                 elif self.kind[w] == "line":
-                    lines.append(w)
-        return core, sorted(set(leads)), sorted(set(lines)), short
+                    lines.add(w)
+        lone = not core
+        return " ".join(core or sorted(leads | lines) or short or name.split()), " ".join(sorted(leads)), " ".join(sorted(lines)), " ".join(short), lone
+
+    def parse(self, name: str) -> tuple[list[str], list[str], list[str], list[str]]:
+        """(core words, leads, lines, initials) of the likely reading of a name."""
+        core, lead, line, short, lone = self.sorted_out(self.readings(name)[0], name)
+        return [] if lone else core.split(), lead.split(), line.split(), short.split()
+
+
+def _read(vocab: Vocabulary):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, items, main = [], [], []
+            for i, name in enumerate(b.column(0).to_pylist()):
+                got = vocab.readings(name)
+                at += [i] * len(got)
+                items += got
+                main += [True] + [False] * (len(got) - 1)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(at, pa.int64())).columns, pa.array(items, pa.list_(pa.string())), pa.array(main, pa.bool_())], names=["name", "k", "items", "main"])
+
+    return walk
 
 
 def _parsed(vocab: Vocabulary):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            core, lead, line, short, lone = [], [], [], [], []
-            for name in b.column(0).to_pylist():
-                c, le, li, sh = vocab.parse(name)
-                if not c:  # made of common words only: they are the core
-                    c = sorted(le + li) or sh or name.split()
-                    lone.append(True)
-                else:
-                    lone.append(False)
-                core.append(" ".join(c))
-                lead.append(" ".join(le))
-                line.append(" ".join(li))
-                short.append(" ".join(sh))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.string()) for x in (core, lead, line, short)], pa.array(lone, pa.bool_())], names=["name", "k", "core", "lead", "line", "short", "lone"])
+            rows = [vocab.sorted_out(i, n) for n, i in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.string()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["name", "k", "main", "core", "lead", "line", "short", "lone"])
 
     return walk
 
 
+def _like_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """dice: how alike a core and its root are."""
+    for b in batches:
+        d, _ = dice_and_overlap(*[sketches([x.replace(" ", "").encode() for x in b.column(c).to_pylist()]) for c in ("core", "root")])
+        same = np.array([x == y for x, y in zip(b.column("core").to_pylist(), b.column("root").to_pylist())], bool)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(same, 1.0, d.astype(np.float64)))], names=[*b.schema.names, "dice"])
+
+
 def compatible(a: tuple[frozenset, frozenset, tuple], b: tuple[frozenset, frozenset, tuple], same: frozenset = frozenset()) -> float | None:
     """The log-likelihood of a form as a spelling of another, or None where they contradict each other. same has the pairs of
     given names that mean one."""
@@ -295,17 +339,27 @@ def organisations(df: DataFrame, id_col: str = "eid", name_col: str = "n_core")
     n = records.count()
     stats = word_stats(records).filter((F.col("n") >= F.lit(max(2.0, VOCAB_SHARE * n))) & is_vocabulary())
     rows = [(r.word, r.n, r.first, r.apart) for r in stats.select("word", "n", "first", "apart").collect()]
-    spellings = records.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    fields = "name string, k long, core string, lead string, line string, short string, lone boolean"
+    spellings = records.groupBy("name").agg(F.count(F.lit(1)).alias("k")).repartition("name")
     vocab = Vocabulary(rows, n)
-    parsed = cut(spellings.mapInArrow(_parsed(vocab), fields), "parsed")
-    same = learned_names(parsed)
-    vocab = Vocabulary(rows, n, learned_aliases(parsed))
-    parsed = cut(spellings.mapInArrow(_parsed(vocab), fields), "parsed")
-    cores = parsed.filter("NOT lone").groupBy("core").agg(F.sum("k").alias("k"))
+    read = cut(spellings.mapInArrow(_read(vocab), "name string, k long, items array<string>, main boolean"), "readings")
+    fields = "name string, k long, main boolean, core string, lead string, line string, short string, lone boolean"
+    likely = cut(read.filter("main").mapInArrow(_parsed(vocab), fields), "parsed")
+    same = learned_names(likely)
+    vocab = Vocabulary(rows, n, learned_aliases(likely))
+    parsed = cut(read.mapInArrow(_parsed(vocab), fields), "parsed")
+    cores = parsed.filter("NOT lone").groupBy("core").agg(F.sum(F.expr("CASE WHEN main THEN k ELSE 0 END")).alias("k"))
     roots = attach(cores.withColumn("part", F.lit(""))).select("core", "root")
     rooted = parsed.join(roots, "core", "left").withColumn("root", F.coalesce("root", "core"))
-    rooted = rooted.withColumn("root", F.when(F.col("lone"), F.concat(F.lit("="), "root")).otherwise(F.col("root")))
+    rooted = cut(rooted.withColumn("root", F.when(F.col("lone"), F.concat(F.lit("="), "root")).otherwise(F.col("root"))), "rooted")
+    # of the readings of a name, the one whose core most other names have, and that is most like it
+    held = rooted.filter("main").groupBy("root").agg(F.sum("k").alias("held"))
+    post = F.log(1 + F.coalesce("held", F.lit(0)) - F.when(F.col("main"), F.col("k")).otherwise(0))
+    post = post - F.when(F.col("main"), 0.0).otherwise(OTHER_READING + 6 * (1 - F.col("dice"))) - F.when(F.col("lone"), LONE).otherwise(0.0)
+    several = rooted.join(rooted.filter("NOT main").select("name").distinct(), "name", "left_semi").select("root", *[c.split()[0] for c in fields.split(", ")])
+    like = cut(several.mapInArrow(_like_root, f"root string, {fields}, dice double"), "rooted")
+    best = like.join(held, "root", "left").groupBy("name").agg(F.max(F.struct(post.alias("p"), "main", "core", "root", "lead", "line", "short", "k")).alias("b"))
+    cols = ["name", "core", "root", "lead", "line", "short", "k"]
+    rooted = cut(best.select("name", "b.*").select(*cols).union(rooted.join(like.select("name").distinct(), "name", "left_anti").select(*cols)), "rooted")
     forms = rooted.groupBy("root", "lead", "line", "short").agg(F.sum("k").alias("k"))
     orgs = over_groups(forms, ["root"], ["lead", "line", "short", "k"], _organised(same), "root string, lead string, line string, short string, org int")
     named = rooted.join(orgs, ["root", "lead", "line", "short"]).select("name", F.concat_ws("|", "root", F.col("org").cast("string")).alias("org"))
