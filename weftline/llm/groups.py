@@ -10,6 +10,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 OUT_ROWS = 8192
+#: Rows for a task of costly Python work. Such tables are small in bytes, so tasks would be merged by size.
+TASK_ROWS = 10_000
+
+
+def spread(rows: int) -> int:
+    """The number of tasks for that many rows."""
+    return max(1, -(-rows // TASK_ROWS))
 
 
 def over_groups(df: DataFrame, keys: list[str], columns: list[str], f: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.canon import attach, edits
-from weftline.llm.groups import over_groups
+from weftline.llm.groups import over_groups, spread
 from weftline.llm.match import ADDED, bones
 from weftline.llm.sketch import dice_and_overlap, sketches
 from weftline.operators.combine import tokens_of
@@ -339,7 +339,7 @@ def organisations(df: DataFrame, id_col: str = "eid", name_col: str = "n_core")
     n = records.count()
     stats = word_stats(records).filter((F.col("n") >= F.lit(max(2.0, VOCAB_SHARE * n))) & is_vocabulary())
     rows = [(r.word, r.n, r.first, r.apart) for r in stats.select("word", "n", "first", "apart").collect()]
-    spellings = records.groupBy("name").agg(F.count(F.lit(1)).alias("k")).repartition("name")
+    spellings = records.groupBy("name").agg(F.count(F.lit(1)).alias("k")).repartition(spread(n), "name")
     vocab = Vocabulary(rows, n)
     read = cut(spellings.mapInArrow(_read(vocab), "name string, k long, items array<string>, main boolean"), "readings")
     fields = "name string, k long, main boolean, core string, lead string, line string, short string, lone boolean"

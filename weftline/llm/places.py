@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.canon import attach, deletions, edits
-from weftline.llm.groups import over_groups
+from weftline.llm.groups import over_groups, spread
 from weftline.llm.match import NUMBER_WORDS, bones, house_and_code
 from weftline.llm.sketch import dice_and_overlap, sketches
 from weftline.session import cut
@@ -390,7 +390,7 @@ def locations(df: DataFrame, id_col: str = "eid", words_col: str = "a_words", nu
     rec = cut(rec.filter("id IS NOT NULL AND w <> ''").distinct(), "addresses")
     names = _names_like_kinds(rec)
     fields = "id long, w string, u string, rest array<string>, code string, region string, keys array<struct<key: string, part: string>>"
-    parsed = cut(rec.repartition("id").mapInArrow(_parsed(names), fields), "parsed")
+    parsed = cut(rec.repartition(spread(rec.count()), "id").mapInArrow(_parsed(names), fields), "parsed")
     words = parsed.select("id", "code", "region", F.explode(F.array_distinct(F.filter("rest", lambda t: F.length(t) >= 5))).alias("word"))
     gazetteer = cut(localities(words).mapInArrow(_gazetteer_keys, "key string, town string, n long, fit double"), "gazetteer")
     lists = _evidence(parsed, gazetteer).groupBy("id").agg(F.collect_list(F.struct("town", "fit", "parts")).alias("towns"))
