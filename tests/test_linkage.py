@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import blocking, collective, context, labels
+from weftline.operators import blocking, collective, context, dictionary, labels
 from weftline.sources import files
 
 COLS = "eid long, country string, n_core string, n_skel string, a_words string, a_nums string"
@@ -44,8 +44,45 @@ def test_f_half(spark):
     assert context.macro_f_half(pred, truth, ids).collect()[0].f05 == want
     sweep = context.threshold_sweep(pred.withColumn("s", F.lit(0.6)), "s", truth, ids, 0.5, 0.7, 0.1)
     got = {round(r.thr, 1): r.f05 for r in sweep.collect()}
-    assert got == {0.5: want, 0.6: want, 0.7: round(1 / 3, 6)}
-    assert context.best_threshold(sweep).collect()[0].thr == 0.5
+    assert got == {0.5: want, 0.6: want}  # the upper end is no threshold
+    assert context.best_threshold(sweep).collect()[0].thr == 0.5 and context.best_threshold(sweep, last=True).collect()[0].thr == 0.6
+    above = context.threshold_sweep(pred.withColumn("s", F.lit(0.6)), "s", truth, ids, 0.7, 0.75, 0.1).collect()
+    assert [(r.thr, r.f05) for r in above] == [(0.7, round(1 / 3, 6))]
+
+
+def test_rival_is_the_second_best_for_every_rank(spark):
+    p = spark.createDataFrame([(1, 9, 0.9), (2, 9, 0.6), (3, 9, 0.2), (1, 8, 0.5)], "eid long, cid long, s double")
+    got = {(r.eid, r.cid): (r.cx_gap_rival_c, r.cx_gap_best_c) for r in context.context(p, "s").collect()}
+    assert got == {(1, 9): (0.3, 0.0), (2, 9): (0.0, -0.3), (3, 9): (-0.4, -0.7), (1, 8): (0.5, 0.0)}
+
+
+def test_lost_pairs_count_against_the_share(spark):
+    rows = [(1, i, i / 100) for i in range(20)] + [(2 + i, 100, i / 100) for i in range(80)]
+    p = spark.createDataFrame(rows, "eid long, cid long, s double")
+    # 12 of the first record's 20 are beyond its first eight; a fifth of 100 may go, so 8 more: the ninth score
+    assert context.recall_threshold(p, "s", p, 0.8).collect()[0].thr == 0.08
+    assert context.recall_threshold(p, "s", p, 0.995).collect()[0].thr == 0.0
+
+
+def test_universe_and_competition(spark):
+    pairs = spark.createDataFrame([(1, 9, 0.3, 0.95), (2, 9, 0.2, 0.4), (2, 8, 0.1, 0.2)], "eid long, cid long, p2 double, p3 double")
+    sure = collective.confident(pairs.select("eid", "cid", "p3"), "p3", 0.9)
+    assert [tuple(r) for r in sure.collect()] == [(1, 9, 0.95)]
+    ev = spark.createDataFrame([(1, 9, 0.9, 5.0, 1, 9), (1, 7, 0.8, 4.0, 1, 9), (1, 8, 0.7, 3.0, 1, 9)], "eid long, cid long, sib_bscore double, sib_ps double, sib_hits long, best_sib long")
+    scores = spark.createDataFrame([(1, 7, 1.5, 0.6, 0.5, 0.1, 2, 1, 2)], "eid long, cid long, ps double, bscore double, bscore_name double, bscore_num double, rank_s1 int, rank_c int, prank_s1 int")
+    uni = collective.universe(pairs, ev, sure, scores, most_new=1)
+    rows = {(r.eid, r.cid): r for r in collective.competition(uni, sure, "p3").collect()}
+    assert set(rows) == {(1, 9), (2, 9), (2, 8), (1, 7)}  # of the new pairs the best one
+    new, lost = rows[1, 7], rows[2, 9]
+    assert (new.p2, new.p3, new.ps, new.bscore, new.rank_s1, new.is_new, new.n_conf, new.u_n_s1) == (None, None, 1.5, 0.6, 2, 1, 1, 2)
+    assert (lost.p2, lost.c_best_p3, lost.c_best_other_gap, lost.other_conf_p3, lost.is_new) == (0.2, 0.95, 0.55, 0.95, 0)
+    assert (rows[1, 9].c_best_other_gap, rows[1, 9].other_conf_p3, rows[1, 9].sib_bscore) == (0.0, None, None)
+
+
+def test_votes_for_no_word_win_nothing(spark):
+    rows = [("a", "x")] * 3 + [("a", "y")] * 2 + [("b", "<none>")] * 9 + [("c", "z")] * 2 + [("d", "d")] * 5 + [("e", "w")] * 5 + [("e", "<none>")] * 4
+    got = dictionary.majority_votes(spark.createDataFrame(rows, "t string, u string"))
+    assert [tuple(r) for r in got.collect()] == [("a", "x", 3)]
 
 
 def test_recall_threshold_keeps_the_share(spark):

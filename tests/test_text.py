@@ -102,3 +102,8 @@ def test_token_set():
 def test_covered():
     assert S.covered(["metals", "xyz"], ["metal"]) == (0.5, ["xyz"])
     assert S.covered([], ["a"]) == (0.0, [])
+
+
+def test_alias_parts_are_read_by_themselves():
+    assert text.name_tokens("Smith J aka K Jones Foods") == ["smith", "j", "k", "jones", "foods"]
+    assert text.name_tokens("A B C dba D E Foods") == ["abc", "de", "foods"]

@@ -101,4 +101,6 @@ NAME_KINDS = ("n", "c", "k", "m")
 PRUNE_RANK, PRUNE_SHARE, PRUNE_MUTUAL = 10, 0.3, 2
 STAGE_TWO_TOP, STAGE_TWO_LEAST, PASS_ONE_LEAST, PASS_TWO_LEAST = 8, 0.0881, 0.75, 0.70
 SURE, SIBLING_PROBE, SIBLING_TOP, SIBLING_TOP_LATER, SIBLING_LEAST = 0.9, 30, 4, 2, 0.5
+# Ids of the sources start at 0, here and here.
+SECOND_SOURCE, THIRD_SOURCE = 100_000_000, 200_000_000
 PSEUDO_LOW, PSEUDO_HIGH, PSEUDO_WEIGHT, GATE_DROP = 0.03, 0.97, 0.5, 0.0005

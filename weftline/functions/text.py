@@ -122,15 +122,16 @@ def split_glued(tok: str, cost: dict[str, float]) -> list[str]:
 
 
 def name_tokens(raw: str | None, words: dict[str, str] | None = None, cost: dict[str, float] | None = None) -> list[str]:
-    """The canonical tokens of a name. A web address leaves its label only; alias markers fall away."""
+    """The canonical tokens of a name. A web address leaves its label only; alias markers part a name, and each part is read by
+    itself."""
     s = raw or ""
     indic = has_indic(s)
     s = fold(s, words).strip()
     m = _DOMAIN.match(s)
     if m:
         s = m[1]
-    s = _ALIAS.sub(" ", s.replace("&", " and ").replace("'", "").replace("`", ""))
-    toks = merge_initials([undo_lookalikes(t) for t in _PIECES.findall(s)])
+    parts = _ALIAS.split(s.replace("&", " and ").replace("'", "").replace("`", ""))
+    toks = [w for p in parts for w in merge_initials([undo_lookalikes(t) for t in _PIECES.findall(p)])]
     if cost and not indic:
         toks = [w for t in toks for w in split_glued(t, cost)]
     return [w for t in toks for w in V.NAME_WORDS.get(t, t).split()]

@@ -30,37 +30,44 @@ def evidence(sure: DataFrame, probed: DataFrame) -> DataFrame:
     return rows.agg(F.max("scos").alias("sib_bscore"), F.max("sps").alias("sib_ps"), F.count(F.lit(1)).alias("sib_hits"), best.alias("b")).select("eid", "cid", "sib_bscore", "sib_ps", "sib_hits", (-F.col("b.m")).alias("best_sib"))
 
 
-def universe(pairs: DataFrame, ev: DataFrame, sure: DataFrame, most_new: int = V.SIBLING_TOP) -> DataFrame:
-    """Pairs of the first pass and, of each record, the best new ones by sibling evidence, with both kinds of scores."""
+SCORES = ["ps", "bscore", "bscore_name", "bscore_num", "rank_s1", "rank_c", "prank_s1"]
+
+
+def universe(pairs: DataFrame, ev: DataFrame, sure: DataFrame, scores: DataFrame, most_new: int = V.SIBLING_TOP) -> DataFrame:
+    """Pairs of the first pass and, of each record, the best new ones by sibling evidence, with the scores of the first pass
+    (all columns of pairs), the evidence, and the blocking scores where blocking had the pair."""
     ev = ev.join(sure.select("eid", F.col("sib").alias("cid")), ["eid", "cid"], "left_anti")
     w = Window.partitionBy("eid").orderBy(F.desc("sib_bscore"), "cid")
     new = ev.join(pairs.select("eid", "cid"), ["eid", "cid"], "left_anti").withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= most_new)
     keys = pairs.select("eid", "cid").unionByName(new.select("eid", "cid"))
-    return keys.join(pairs, ["eid", "cid"], "left").join(ev, ["eid", "cid"], "left")
+    return keys.join(pairs, ["eid", "cid"], "left").join(ev, ["eid", "cid"], "left").join(scores.select("eid", "cid", *SCORES), ["eid", "cid"], "left")
 
 
 def competition(uni: DataFrame, sure: DataFrame, score: str) -> DataFrame:
-    """What the other records and the sure partners of a record mean for each pair of the universe."""
-    e, c = Window.partitionBy("eid"), Window.partitionBy("cid")
-    n = sure.groupBy("eid").agg(F.count(F.lit(1)).alias("n_conf"), F.count_if(F.col("sib") >= 200_000_000).alias("n_conf_s3"))
+    """The universe with what other records and the sure partners of a record mean for each pair.
+
+    Sizes and maxima are aggregates joined back, not windows, so a record with very many pairs is in no single task."""
+    sizes = uni.groupBy("eid").agg(F.count(F.lit(1)).alias("u_n_s1"))
+    best = uni.groupBy("cid").agg(F.count(F.lit(1)).alias("u_n_c"), F.round(F.coalesce(F.max(score), F.lit(0.0)), 6).alias("c_best_p3"))
+    n = sure.groupBy("eid").agg(F.count(F.lit(1)).alias("n_conf"), F.count_if(F.col("sib") >= V.THIRD_SOURCE).alias("n_conf_s3"))
     owner = sure.select(F.col("sib").alias("cid"), F.col("eid").alias("owner"), F.col("p").alias("op"))
-    is_s3 = F.col("cid") >= 200_000_000
-    d = uni.join(n, "eid", "left").join(owner, "cid", "left").fillna(0, ["n_conf", "n_conf_s3", "sib_hits"])
-    best = F.coalesce(F.max(score).over(c), F.lit(0.0))
+    is_s3 = F.col("cid") >= V.THIRD_SOURCE
+    d = uni.join(sizes.join(n, "eid", "left"), "eid").join(best.join(owner, "cid", "left"), "cid").fillna(0, ["n_conf", "n_conf_s3", "sib_hits"])
     return d.select(
-        "eid", "cid", score, "sib_bscore", "sib_ps", "sib_hits", "best_sib",
-        F.col(score).isNull().cast("int").alias("is_new"), F.count(F.lit(1)).over(e).alias("u_n_s1"), F.count(F.lit(1)).over(c).alias("u_n_c"),
-        F.round(F.coalesce(score, F.lit(0.0)) - best, 6).alias("c_best_other_gap"), F.round(best, 6).alias("c_best_p3"),
+        *uni.columns, F.col(score).isNull().cast("int").alias("is_new"), "u_n_s1", "u_n_c",
+        F.round(F.col("c_best_p3") - F.coalesce(score, F.lit(0.0)), 6).alias("c_best_other_gap"), "c_best_p3",
         "n_conf", "n_conf_s3", is_s3.cast("int").alias("is_s3"), F.when(is_s3, F.col("n_conf_s3")).otherwise(F.col("n_conf") - F.col("n_conf_s3")).alias("n_conf_same_src"),
         F.when(F.col("owner") != F.col("eid"), F.col("op")).alias("other_conf_p3"),
     )
 
 
 def narrow(uni: DataFrame, score: str, most: int = V.SIBLING_TOP_LATER, least: float = V.SIBLING_LEAST) -> DataFrame:
-    """All pairs of the first pass; new ones only among the record's first by sibling evidence (old pairs rank too)."""
+    """All pairs of the first pass; new ones only among the record's first by sibling evidence (old pairs rank too). The ranks
+    come from a group limit, so only a few pairs of a record are ever sorted together."""
     w = Window.partitionBy("eid").orderBy(F.desc_nulls_last("sib_bscore"), "cid")
-    d = uni.withColumn("rk", F.row_number().over(w))
-    return d.filter(F.col(score).isNotNull() | ((F.col("rk") <= most) & (F.col("sib_bscore") >= least))).drop("rk")
+    first = uni.select("eid", "cid", "sib_bscore").withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= most).select("eid", "cid", F.lit(True).alias("first"))
+    d = uni.join(first, ["eid", "cid"], "left")
+    return d.filter(F.col(score).isNotNull() | (F.col("first") & (F.col("sib_bscore") >= least))).drop("first")
 
 
 def unseen(ids: DataFrame, known: DataFrame) -> DataFrame:
@@ -68,13 +75,13 @@ def unseen(ids: DataFrame, known: DataFrame) -> DataFrame:
     return ids.join(known.select("country").distinct(), "country", "left_anti")
 
 
-def pseudo_labels(pairs: DataFrame, score: str) -> DataFrame:
+def pseudo_labels(pairs: DataFrame, score: str, low: float = V.PSEUDO_LOW, high: float = V.PSEUDO_HIGH) -> DataFrame:
     """(eid, cid, y): labels from sure scores; records with any pair between the bounds are left out whole."""
     s = F.col(score)
-    between = F.bool_or((s > V.PSEUDO_LOW) & (s < V.PSEUDO_HIGH)).over(Window.partitionBy("eid"))
+    open_ = pairs.filter((s > low) & (s < high)).select("eid").distinct()
     first = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc(score), "eid")) == 1
-    y = F.when((s >= V.PSEUDO_HIGH) & F.col("first"), 1).when(s <= V.PSEUDO_LOW, 0)
-    return pairs.withColumns({"between": between, "first": first}).filter("NOT between").select("eid", "cid", y.alias("y")).na.drop(subset=["y"])
+    y = F.when((s >= high) & F.col("first"), 1).when(s <= low, 0)
+    return pairs.withColumn("first", first).join(open_, "eid", "left_anti").select("eid", "cid", y.alias("y")).na.drop(subset=["y"])
 
 
 def rewrite(old: DataFrame, new: DataFrame, where: DataFrame, id_col: str, value: str) -> DataFrame:

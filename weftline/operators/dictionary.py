@@ -46,11 +46,12 @@ def aligned_votes(pairs: DataFrame, mine: str, other: str) -> DataFrame:
 
 
 def majority_votes(pairs: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
-    """(t, u, n): of (t, u) votes, the winner of each t with enough support; words that win for themselves are left out."""
+    """(t, u, n): of (t, u) votes, the winner of each t with enough support; words that win for themselves are left out, and
+    those whose winner is no word. Votes for no word count in the share."""
     votes = pairs.groupBy("t", "u").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("t")
     best = votes.withColumns({"all": F.sum("n").over(w), "rk": F.row_number().over(w.orderBy(F.desc("n"), "u"))})
-    return best.filter((F.col("rk") == 1) & (F.col("n") >= least) & (F.col("n") >= share * F.col("all")) & (F.col("t") != F.col("u"))).select("t", "u", "n")
+    return best.filter((F.col("rk") == 1) & (F.col("n") >= least) & (F.col("n") >= share * F.col("all")) & (F.col("t") != F.col("u")) & (F.col("u") != NONE)).select("t", "u", "n")
 
 
 def common_words(rec: DataFrame, col: str, k: int = 400) -> DataFrame:

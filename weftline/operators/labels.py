@@ -17,6 +17,15 @@ def portable_hash(c: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def part_of(c: Column, seed: int, n: int) -> Column:
+    """The number of a seeded part of n, from 0: inner splits of the folds."""
+    return F.pmod(portable_hash(c, seed), F.lit(n))
+
+
+#: Seed and parts of the inner splits: of fold A, of fold B, of fold C, and within the part of C that is fitted on.
+INNER_A, INNER_B, SPLIT_C, INNER_C = (99, 5), (5, 10), (7, 5), (3, 10)
+
+
 def fold_of(c: Column) -> Column:
     """A, B or C in 20, 50 and 30 percent of the ids."""
     k = F.pmod(portable_hash(c, 7), F.lit(10))

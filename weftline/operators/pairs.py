@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import fixed as V
 from weftline.operators.blocking import tokens
 
 FEATURES = (
@@ -40,7 +41,7 @@ def cheap_features(ranked: DataFrame, one: DataFrame, cand: DataFrame) -> DataFr
     out["rel_c"] = F.round(F.coalesce(F.try_divide("bscore", "best_c"), F.lit(0.0)), 6)
     out["margin_c"] = F.round(F.col("bscore") - F.when(F.col("rank_c") == 1, F.col("second_c")).otherwise(F.col("best_c")), 6)
     out["margin_s1"] = F.round(F.col("bscore") - F.when(F.col("rank_s1") == 1, F.col("second_s1")).otherwise(F.col("best_s1")), 6)
-    out["is_s3"] = flag(F.col("cid") >= 200_000_000)
+    out["is_s3"] = flag(F.col("cid") >= V.THIRD_SOURCE)
     out["hn_eq"] = flag(F.get("tu1", F.lit(0)) == F.get("tu2", F.lit(0)))
     out["concat_eq"] = flag((F.col("cc1") == F.col("cc2")) & (F.col("cc1") != ""))
     out["legal_eq"] = flag(F.array_sort("tl1") == F.array_sort("tl2"))

@@ -240,7 +240,7 @@ def er_jaccard_overlap(spark, d):
 
 _CX = """cx AS (SELECT eid, cid, bscore, CAST(row_number() OVER e AS INTEGER) AS cx_rank_s1, round(bscore - max(bscore) OVER (PARTITION BY eid), 6) AS cx_gap_s1, count(*) OVER (PARTITION BY eid) AS cx_n_s1,
   round(sum(bscore) OVER (PARTITION BY eid), 6) AS cx_sum_s1, CAST(row_number() OVER c AS INTEGER) AS cx_rank_c,
-  round(bscore - CASE WHEN row_number() OVER c = 1 THEN coalesce(nth_value(bscore, 2) OVER (PARTITION BY cid ORDER BY bscore DESC, eid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) ELSE max(bscore) OVER (PARTITION BY cid) END, 6) AS cx_gap_rival_c,
+  round(bscore - CASE WHEN count(*) OVER (PARTITION BY cid) > 1 THEN list_sort(list(bscore) OVER (PARTITION BY cid), 'DESC')[2] ELSE 0.0 END, 6) AS cx_gap_rival_c,
   round(bscore - max(bscore) OVER (PARTITION BY cid), 6) AS cx_gap_best_c, count(*) OVER (PARTITION BY cid) AS cx_n_c
   FROM sv WINDOW e AS (PARTITION BY eid ORDER BY bscore DESC, cid), c AS (PARTITION BY cid ORDER BY bscore DESC, eid))"""
 _SV = f"sv AS (SELECT eid, cid, bscore FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS rk FROM p WHERE bscore >= {V.STAGE_TWO_LEAST}) WHERE rk <= {V.STAGE_TWO_TOP})"
@@ -287,17 +287,30 @@ def er_f05(spark, d):
     return context.macro_f_half(decided(spark, d), truth(spark, d), one(spark, d))
 
 
-_GRID = "grid AS (SELECT unnest([CAST(round(0.2 + 0.025 * i, 6) AS DOUBLE) FOR i IN range(29)]) AS thr)"
+_GRID = "grid AS (SELECT unnest([CAST(round({low} + 0.025 * i, 6) AS DOUBLE) FOR i IN range({n})]) AS thr)"
 
 
-@query(f"""WITH {_RECS}, {_PAIRS}, {_TRUTH}, {_decided(-1)}, {_GRID}, np AS (SELECT thr, eid, count(*) AS np, count(t.cid) AS tp FROM grid JOIN decided ON bscore >= thr LEFT JOIN truth t USING (eid, cid) GROUP BY thr, eid),
+def _sweep(low: float, n: int) -> str:
+    return f"""WITH {_RECS}, {_PAIRS}, {_TRUTH}, {_decided(-1)}, {_GRID.format(low=low, n=n)}, np AS (SELECT thr, eid, count(*) AS np, count(t.cid) AS tp FROM grid JOIN decided ON bscore >= thr LEFT JOIN truth t USING (eid, cid) GROUP BY thr, eid),
   nt AS (SELECT eid, count(*) AS nt FROM truth GROUP BY eid), alls AS (SELECT thr, eid, coalesce(nt, 0) AS nt FROM grid, r1 LEFT JOIN nt USING (eid))
-  SELECT thr, round(avg(CASE WHEN nt = 0 AND np IS NULL THEN 1.0 ELSE 1.25 * coalesce(tp, 0) / (0.25 * nt + coalesce(np, 0)) END), 6) AS f05 FROM alls LEFT JOIN np USING (thr, eid) GROUP BY thr""")
+  SELECT thr, round(avg(CASE WHEN nt = 0 AND np IS NULL THEN 1.0 ELSE 1.25 * coalesce(tp, 0) / (0.25 * nt + coalesce(np, 0)) END), 6) AS f05 FROM alls LEFT JOIN np USING (thr, eid) GROUP BY thr"""
+
+
+@query(_sweep(0.2, 28))
 def er_threshold_sweep(spark, d):
+    """The grid of the first pass: 28 thresholds, 0.9 is none of them."""
     return context.threshold_sweep(pairs(spark, d), "bscore", truth(spark, d), one(spark, d), 0.2, 0.9, 0.025)
 
 
-@query(f"WITH {_RECS}, {_PAIRS}, {_TRUTH}, o AS (SELECT bscore, row_number() OVER (ORDER BY bscore) AS k, count(*) OVER () AS n FROM p JOIN truth USING (eid, cid)) SELECT min(bscore) AS thr FROM o WHERE k > floor(0.005 * n + 1e-9)")
+@query(_sweep(0.3, 26))
+def er_threshold_sweep_later(spark, d):
+    """The grid of the second pass."""
+    return context.threshold_sweep(pairs(spark, d), "bscore", truth(spark, d), one(spark, d), 0.3, 0.95, 0.025)
+
+
+@query(f"""WITH {_RECS}, {_PAIRS}, {_TRUTH}, t AS (SELECT eid, cid, bscore, row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS rk FROM p), pos AS (SELECT rk, bscore FROM t JOIN truth USING (eid, cid)),
+  pp AS (SELECT list(bscore ORDER BY bscore) AS v FROM pos WHERE rk <= {V.STAGE_TWO_TOP}), k AS (SELECT CAST(floor(0.005 * count(*) + 1e-9) AS BIGINT) - (count(*) - count(*) FILTER (rk <= {V.STAGE_TWO_TOP})) AS k FROM pos)
+  SELECT CASE WHEN k > 0 THEN v[k + 1] ELSE v[1] END AS thr FROM pp, k""")
 def er_recall_threshold(spark, d):
     return context.recall_threshold(pairs(spark, d), "bscore", truth(spark, d))
 
@@ -339,33 +352,27 @@ def er_siblings(spark, d):
     return collective.sibling_probe(_sure(spark, d), cand(spark, d))
 
 
-# Further stages take the pairs of one candidate's partners as sibling evidence: both candidates of one record of source 1,
-# with the smaller of their scores, so that both engines start from the same table.
-def _known(spark, d):
-    p = context.survivors(pairs(spark, d), "bscore", 0.0, 20).select("eid", "cid", "bscore")
-    return p.alias("a").join(p.alias("b"), F.expr("a.eid = b.eid AND a.cid <> b.cid")).groupBy(F.expr("a.cid").alias("sib"), F.expr("b.cid").alias("cid")).agg(F.max(F.least("a.bscore", "b.bscore")).alias("scos")).withColumn("sps", F.col("scos"))
-
-
-_KNOWN = """t20 AS (SELECT eid, cid, bscore FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS rk FROM p WHERE bscore >= 0) WHERE rk <= 20),
-  sibs AS (SELECT a.cid AS sib, b.cid, max(least(a.bscore, b.bscore)) AS scos, max(least(a.bscore, b.bscore)) AS sps FROM t20 a JOIN t20 b ON a.eid = b.eid AND a.cid <> b.cid GROUP BY ALL)"""
 _EV = """ev AS (SELECT eid, cid, max(scos) AS sib_bscore, max(sps) AS sib_ps, count(*) AS sib_hits, first(sib ORDER BY scos DESC, sib) AS best_sib FROM sure JOIN sibs USING (sib) GROUP BY eid, cid)"""
-_UNI = f"""ev2 AS (SELECT ev.* FROM ev ANTI JOIN sure ON ev.eid = sure.eid AND ev.cid = sure.sib), op AS (SELECT eid, cid, bscore FROM p),
+# The scores of the first pass have no model here: p2 is ps, p3 is bscore.
+_UNI = f"""{_ranked('p')}, ev2 AS (SELECT ev.* FROM ev ANTI JOIN sure ON ev.eid = sure.eid AND ev.cid = sure.sib), op AS (SELECT eid, cid, ps AS p2, bscore AS p3 FROM p),
   fresh AS (SELECT eid, cid FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY sib_bscore DESC, cid) AS rk FROM ev2 ANTI JOIN op USING (eid, cid)) WHERE rk <= {V.SIBLING_TOP}),
-  uni AS (SELECT k.eid, k.cid, op.bscore, sib_bscore, sib_ps, sib_hits, best_sib FROM (SELECT eid, cid FROM op UNION ALL FROM fresh) k LEFT JOIN op USING (eid, cid) LEFT JOIN ev2 USING (eid, cid))"""
-_BASE = f"WITH {_PAIRS}, {_SURE}, {_KNOWN}, {_EV}, {_UNI}"
+  uni AS (SELECT k.eid, k.cid, p2, p3, sib_bscore, sib_ps, sib_hits, best_sib, {", ".join("ranked." + c for c in collective.SCORES)}
+    FROM (SELECT eid, cid FROM op UNION ALL FROM fresh) k LEFT JOIN op USING (eid, cid) LEFT JOIN ev2 USING (eid, cid) LEFT JOIN ranked USING (eid, cid))"""
+_BASE = f"{_PROBE}, {_EV}, {_UNI}"
 
 
-def _evidence(spark, d):
-    return collective.evidence(_sure(spark, d), _known(spark, d))
+def _evidence(spark, d, sure):
+    return collective.evidence(sure, collective.sibling_probe(sure, cand(spark, d)))
 
 
 def _universe(spark, d):
-    return collective.universe(pairs(spark, d).select("eid", "cid", "bscore"), _evidence(spark, d), _sure(spark, d))
+    p, sure = pairs(spark, d), _sure(spark, d)
+    return collective.universe(p.select("eid", "cid", F.col("ps").alias("p2"), F.col("bscore").alias("p3")), _evidence(spark, d, sure), sure, B.add_ranks(p))
 
 
-@query(f"{_BASE} SELECT * FROM ev")
+@query(f"{_PROBE}, {_EV} SELECT * FROM ev")
 def er_evidence(spark, d):
-    return _evidence(spark, d)
+    return _evidence(spark, d, _sure(spark, d))
 
 
 @query(f"{_BASE} SELECT * FROM uni")
@@ -373,32 +380,38 @@ def er_universe(spark, d):
     return _universe(spark, d)
 
 
-@query(f"""{_BASE}, n AS (SELECT eid, count(*) AS n_conf, count(*) FILTER (sib >= 200000000) AS n_conf_s3 FROM sure GROUP BY eid), own AS (SELECT sib AS cid, eid AS owner, p AS op FROM sure)
-  SELECT eid, cid, bscore, sib_bscore, sib_ps, coalesce(sib_hits, 0) AS sib_hits, best_sib, CAST(bscore IS NULL AS INTEGER) AS is_new, count(*) OVER (PARTITION BY eid) AS u_n_s1, count(*) OVER (PARTITION BY cid) AS u_n_c,
-  round(coalesce(bscore, 0.0) - coalesce(max(bscore) OVER (PARTITION BY cid), 0.0), 6) AS c_best_other_gap, round(coalesce(max(bscore) OVER (PARTITION BY cid), 0.0), 6) AS c_best_p3,
-  coalesce(n_conf, 0) AS n_conf, coalesce(n_conf_s3, 0) AS n_conf_s3, CAST(cid >= 200000000 AS INTEGER) AS is_s3,
-  CASE WHEN cid >= 200000000 THEN coalesce(n_conf_s3, 0) ELSE coalesce(n_conf, 0) - coalesce(n_conf_s3, 0) END AS n_conf_same_src, CASE WHEN owner <> eid THEN op END AS other_conf_p3
+@query(f"""{_BASE}, n AS (SELECT eid, count(*) AS n_conf, count(*) FILTER (sib >= {V.THIRD_SOURCE}) AS n_conf_s3 FROM sure GROUP BY eid), own AS (SELECT sib AS cid, eid AS owner, p AS op FROM sure)
+  SELECT uni.* REPLACE (coalesce(sib_hits, 0) AS sib_hits), CAST(p3 IS NULL AS INTEGER) AS is_new, count(*) OVER (PARTITION BY eid) AS u_n_s1, count(*) OVER (PARTITION BY cid) AS u_n_c,
+  round(max(coalesce(p3, 0.0)) OVER (PARTITION BY cid) - coalesce(p3, 0.0), 6) AS c_best_other_gap, round(max(coalesce(p3, 0.0)) OVER (PARTITION BY cid), 6) AS c_best_p3,
+  coalesce(n_conf, 0) AS n_conf, coalesce(n_conf_s3, 0) AS n_conf_s3, CAST(cid >= {V.THIRD_SOURCE} AS INTEGER) AS is_s3,
+  CASE WHEN cid >= {V.THIRD_SOURCE} THEN coalesce(n_conf_s3, 0) ELSE coalesce(n_conf, 0) - coalesce(n_conf_s3, 0) END AS n_conf_same_src, CASE WHEN owner <> eid THEN op END AS other_conf_p3
   FROM uni LEFT JOIN n USING (eid) LEFT JOIN own USING (cid)""")
 def er_competition(spark, d):
-    return collective.competition(_universe(spark, d), _sure(spark, d), "bscore")
+    return collective.competition(_universe(spark, d), _sure(spark, d), "p3")
 
 
-@query(f"{_BASE} SELECT eid, cid, bscore, sib_bscore FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY sib_bscore DESC NULLS LAST, cid) AS rk FROM uni) WHERE bscore IS NOT NULL OR (rk <= {V.SIBLING_TOP_LATER} AND sib_bscore >= {V.SIBLING_LEAST})")
+@query(f"{_BASE} SELECT eid, cid, p3, sib_bscore FROM (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY sib_bscore DESC NULLS LAST, cid) AS rk FROM uni) WHERE p3 IS NOT NULL OR (rk <= {V.SIBLING_TOP_LATER} AND sib_bscore >= {V.SIBLING_LEAST})")
 def er_narrow(spark, d):
-    return collective.narrow(_universe(spark, d), "bscore").select("eid", "cid", "bscore", "sib_bscore")
+    return collective.narrow(_universe(spark, d), "p3").select("eid", "cid", "p3", "sib_bscore")
+
 
+LOW, HIGH = 0.3, 0.6  # bounds that fit a cosine
 
-@query(f"""WITH {_PAIRS}, q AS (SELECT *, bool_or(bscore > {V.PSEUDO_LOW} AND bscore < {V.PSEUDO_HIGH}) OVER (PARTITION BY eid) AS mid, row_number() OVER (PARTITION BY cid ORDER BY bscore DESC, eid) AS rk FROM (SELECT eid, cid, CASE WHEN bscore >= 0.6 THEN 0.99 WHEN bscore <= 0.3 THEN 0.01 ELSE bscore END AS bscore FROM p))
-  SELECT eid, cid, y FROM (SELECT eid, cid, CASE WHEN bscore >= {V.PSEUDO_HIGH} AND rk = 1 THEN 1 WHEN bscore <= {V.PSEUDO_LOW} THEN 0 END AS y FROM q WHERE NOT mid) WHERE y IS NOT NULL""")
+
+@query(f"""WITH {_PAIRS}, q AS (SELECT *, bool_or(bscore > {LOW} AND bscore < {HIGH}) OVER (PARTITION BY eid) AS mid, row_number() OVER (PARTITION BY cid ORDER BY bscore DESC, eid) AS rk FROM p)
+  SELECT eid, cid, y FROM (SELECT eid, cid, CASE WHEN bscore >= {HIGH} AND rk = 1 THEN 1 WHEN bscore <= {LOW} THEN 0 END AS y FROM q WHERE NOT mid) WHERE y IS NOT NULL""")
 def er_pseudo_labels(spark, d):
-    p = pairs(spark, d).select("eid", "cid", F.expr("CASE WHEN bscore >= 0.6 THEN double(0.99) WHEN bscore <= 0.3 THEN double(0.01) ELSE bscore END AS bscore"))
-    return collective.pseudo_labels(p, "bscore")
+    return collective.pseudo_labels(pairs(spark, d), "bscore", LOW, HIGH)
+
 
+_KNOWN = "known AS (SELECT DISTINCT country FROM r2 WHERE indic)"
 
-@query(f"WITH r1 AS ({_REC} test_s2), r2 AS ({_R1}) SELECT eid, country FROM r1 WHERE country NOT IN (SELECT country FROM r2)")
+
+@query(f"WITH {_RECS}, {_KNOWN}, t AS ({_REC} test_s2) SELECT eid, country FROM t WHERE country NOT IN (FROM known)")
 def er_unseen_country(spark, d):
+    """Records of countries that no candidate with Indic script is from."""
     test = clean(table(spark, d, "test_s2").select(*COLS))
-    return collective.unseen(test, one(spark, d)).select("eid", "country")
+    return collective.unseen(test, cand(spark, d).filter("indic")).select("eid", "country")
 
 
 _LISTS = "lists AS (SELECT i.eid, coalesce(l.v, '') AS matched_entity_ids FROM (SELECT eid FROM r1) i LEFT JOIN (SELECT eid, string_agg(CAST(cid AS VARCHAR), ',' ORDER BY CAST(cid AS VARCHAR)) AS v FROM decided GROUP BY eid) l USING (eid))"
@@ -415,12 +428,12 @@ def er_candidate_lists(spark, d):
 
 
 @query(f"""WITH {_RECS}, {_PAIRS}, {_decided(LEAST)}, {_LISTS}, {_decided(0.7, 'strict')}, s AS (SELECT eid, string_agg(CAST(cid AS VARCHAR), ',' ORDER BY CAST(cid AS VARCHAR)) AS v FROM strict GROUP BY eid)
-  SELECT eid, CASE WHEN country = 'france' THEN coalesce(s.v, '') ELSE matched_entity_ids END AS matched_entity_ids FROM lists JOIN r1 USING (eid) LEFT JOIN s USING (eid)""")
+  , {_KNOWN} SELECT eid, CASE WHEN country NOT IN (FROM known) THEN coalesce(s.v, '') ELSE matched_entity_ids END AS matched_entity_ids FROM lists JOIN r1 USING (eid) LEFT JOIN s USING (eid)""")
 def er_rewrite_rows(spark, d):
     ids = one(spark, d)
     old = match_lists(ids, decided(spark, d))
     new = match_lists(ids, context.decide(pairs(spark, d), "bscore", 0.7))
-    return collective.rewrite(old, new, ids.filter("country = 'france'"), "eid", "matched_entity_ids")
+    return collective.rewrite(old, new, collective.unseen(ids, cand(spark, d).filter("indic")), "eid", "matched_entity_ids")
 
 
 _H = lambda seed, x: f"CAST('0x' || substr(md5('{seed}:' || {x}), 1, 8) AS BIGINT)"
@@ -431,6 +444,14 @@ def er_folds(spark, d):
     return one(spark, d).select("eid", labels.fold_of(F.col("eid")).alias("fold"))
 
 
+_INNER = {"inner_a": labels.INNER_A, "inner_b": labels.INNER_B, "split_c": labels.SPLIT_C, "inner_c": labels.INNER_C}
+
+
+@query(f"WITH {_RECS} SELECT eid, " + ", ".join(f"{_H(seed, 'CAST(eid AS VARCHAR)')} % {n} AS {c}" for c, (seed, n) in _INNER.items()) + " FROM r1")
+def er_inner_folds(spark, d):
+    return one(spark, d).select("eid", *[labels.part_of(F.col("eid"), *x).alias(c) for c, x in _INNER.items()])
+
+
 @query(f"WITH {_RECS}, {_PAIRS}, {_TRUTH}, l AS (SELECT p.eid, p.cid, CAST(t.cid IS NOT NULL AS INTEGER) AS y FROM p LEFT JOIN truth t ON t.eid = p.eid AND t.cid = p.cid) SELECT * FROM l WHERE y = 1 OR {_H(99, '(CAST(eid AS VARCHAR) || chr(124) || CAST(cid AS VARCHAR))')} % 100 < 35")
 def er_negative_sample(spark, d):
     t = truth(spark, d).withColumn("y", F.lit(1))
@@ -453,9 +474,16 @@ def er_addr_common(spark, d):
     return dictionary.common_words(one(spark, d).unionByName(cand(spark, d)), "a_words")
 
 
-@query(f"""WITH {_RECS}, {_TRUTH}, v AS (SELECT string_split(b.n_norm, ' ')[1] AS t, string_split(a.n_norm, ' ')[1] AS u FROM truth JOIN r1 a USING (eid) JOIN r2 b ON b.eid = cid),
-  c AS (SELECT t, u, count(*) AS n FROM v WHERE t <> '' AND u <> '' GROUP BY ALL) SELECT t, u, n FROM (SELECT *, sum(n) OVER (PARTITION BY t) AS alls, row_number() OVER (PARTITION BY t ORDER BY n DESC, u) AS rk FROM c) WHERE rk = 1 AND n >= 1 AND n >= 0.4 * alls AND t <> u""")
+_BOTH = "list_filter(string_split({s}.n_norm || ' ' || {s}.a_norm, ' '), lambda x: x <> '')"
+
+
+@query(f"""WITH {_RECS}, {_TRUTH}, l AS (SELECT {_BOTH.format(s="b")} AS ts, {_BOTH.format(s="a")} AS us FROM truth JOIN r1 a USING (eid) JOIN r2 b ON b.eid = cid), v AS (SELECT unnest(ts) AS t, unnest(us) AS u FROM l WHERE len(ts) = len(us)),
+  c AS (SELECT t, u, count(*) AS n FROM v GROUP BY ALL) SELECT t, u, n FROM (SELECT *, sum(n) OVER (PARTITION BY t) AS alls, row_number() OVER (PARTITION BY t ORDER BY n DESC, u) AS rk FROM c) WHERE rk = 1 AND n >= 3 AND n >= 0.6 * alls AND t <> u AND u <> '<none>'""")
 def er_word_votes(spark, d):
-    a = one(spark, d).select("eid", F.split("n_norm", " ")[0].alias("u"))
-    b = cand(spark, d).select(F.col("eid").alias("cid"), F.split("n_norm", " ")[0].alias("t"))
-    return dictionary.majority_votes(truth(spark, d).join(a, "eid").join(b, "cid").filter("t <> '' AND u <> ''"), 1, 0.4)
+    """Votes of the words in the same place of two matched records with as many words."""
+
+    def words(rec, id_col, name):
+        return rec.select(F.col("eid").alias(id_col), F.filter(F.split(F.concat("n_norm", F.lit(" "), "a_norm"), " "), lambda t: t != "").alias(name))
+
+    both = truth(spark, d).join(words(one(spark, d), "eid", "us"), "eid").join(words(cand(spark, d), "cid", "ts"), "cid").filter("size(us) = size(ts)")
+    return dictionary.majority_votes(both.select(F.explode(F.arrays_zip("ts", "us")).alias("z")).select(F.col("z.ts").alias("t"), F.col("z.us").alias("u")))

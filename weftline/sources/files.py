@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions import fixed as V
+
 RAW = ["entity_id", "business_name", "business_address", "country"]
 
 
@@ -50,6 +52,8 @@ def with_ids(df: DataFrame, source: int, by: str = "entity_id") -> DataFrame:
     for r in sorted(sizes, key=lambda r: r["_p"]):
         before.append((r["_p"], start - r["_first"]))
         start += r["n"]
+    if start > V.SECOND_SOURCE and source < 3:
+        raise ValueError(f"source {source} has {start} records, ids of a source have room for {V.SECOND_SOURCE}")
     shift = df.sparkSession.createDataFrame(before, "_p int, _shift long")
-    eid = (F.col("_k") + F.col("_shift") + F.lit({1: 0, 2: 100_000_000, 3: 200_000_000}[source])).alias("eid")
+    eid = (F.col("_k") + F.col("_shift") + F.lit({1: 0, 2: V.SECOND_SOURCE, 3: V.THIRD_SOURCE}[source])).alias("eid")
     return parts.join(F.broadcast(shift), "_p").select(eid, *df.columns)
