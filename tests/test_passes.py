@@ -3,8 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed as V
-from weftline.functions import udfs
-from weftline.operators import context, model, passes, rich
+from weftline.functions import text, udfs
+from weftline.operators import context, dictionary, labels, model, passes, rich
 from weftline.plans import job, registry
 from weftline.sources import files
 from weftline.streaming import records as stream
@@ -35,11 +35,14 @@ def corpus(seed=3, n=60):
 def test_two_passes_end_to_end(spark):
     one, cand, true = corpus()
     truth = spark.createDataFrame(true, "eid long, cid long")
-    p = passes.Passes(records(spark, one), records(spark, cand), truth, passes.Settings(rounds=5, least=0.5))
+    p = passes.Passes(records(spark, one), records(spark, cand), truth, passes.Settings(rounds_two=5, rounds=5, least=0.5))
     first = context.decide(p.first(), "p3", 0.5)
     assert first.groupBy("cid").count().filter("count > 1").isEmpty()
     f1 = context.macro_f_half(first, truth, p.ids).collect()[0].f05
     second = context.decide(p.second(), "p", 0.5)
+    # no fold is scored by a model that was fitted on it where a threshold is chosen
+    assert p.later_rows.filter(labels.fold_of(F.col("eid")) != "C").isEmpty() and not p.later_rows.filter("NOT fitted").isEmpty()
+    assert {"p2", "ps", "bscore", "rank_s1", "prank_s1"} <= set(p.cols_later) and 0.3 <= p.later_least < 0.95
     assert second.groupBy("cid").count().filter("count > 1").isEmpty()
     f2 = context.macro_f_half(second, truth, p.ids).collect()[0].f05
     assert f1 > 0.8 and f2 > 0.8
@@ -59,7 +62,10 @@ def test_job_over_raw_files(spark, tmp_path):
             names = dict([(r[0], r[1]) for r in one + cand])
             rows = "".join(f"{r[1]}\t{','.join(names[c] for e, c in true if e == r[0])}\n" for r in one)
             (tmp_path / split / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + rows)
-    job.run(spark, str(tmp_path), str(tmp_path / "out"), passes.Settings(rounds=3, later_least=0.5))
+    out = str(tmp_path / "out")
+    job.train(spark, str(tmp_path), out, passes.Settings(rounds_two=3, rounds=3, later_least=0.5))
+    assert {"words", "vocabulary", "stage_two", "stage_three", "later", "settings", "costs"} <= {x.name for x in (tmp_path / "out" / "model").iterdir()}
+    job.predict(spark, str(tmp_path), out)
     m, c = (files.read_tsv(spark, str(tmp_path / "out" / x), ["source1_entity_id", c]).collect() for x, c in (("matches", "matched_entity_ids"), ("candidates", "candidate_entity_ids")))
     assert {r[0] for r in m} == {r[0] for r in c} == {f"s1-{i}" for i in range(50)} and len(m) == len(c) == 50
     cands = {r[0]: set(r[1].split(",")) for r in c}
@@ -67,6 +73,36 @@ def test_job_over_raw_files(spark, tmp_path):
     assert len(got) == len(set(got)) and all(set(filter(None, r[1].split(","))) <= cands[r[0]] for r in m) and len(got) > 20
 
 
+def test_glued_and_indic_names_match_only_with_what_was_learned(spark, tmp_path):
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    hindi = "कमल"  # read letter by letter: kamal
+    for split in ("train", "test"):
+        (tmp_path / split).mkdir()
+        one = [(f"s1-{i}", f"Kamala House {w} Bakery") for i, w in enumerate(["Nalka", "Tomri", "Vesta", "Kundo"])] + [("s1-9", "Golden Garden")]
+        two = [(f"s2-{i}", f"{hindi} House {w} Bakery") for i, w in enumerate(["Nalka", "Tomri", "Vesta", "Kundo"])] + [("s2-9", "GoldenGarden")]
+        one += [(f"s1-{20 + i}", f"Golden {w}") for i, w in enumerate(["Tools", "Foods", "Tiles"])] + [(f"s1-{30 + i}", f"{w} Garden") for i, w in enumerate(["Tools", "Foods", "Tiles"])]
+        for n, rows in ((1, one), (2, two), (3, [])):
+            (tmp_path / split / f"{split}_source{n}.tsv").write_text(head + "".join(f"{e}\t{x}\t\tin\n" for e, x in rows))
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"s1-{i}\ts2-{i}\n" for i in range(4)))
+    out = str(tmp_path / "out")
+    plain = {r.entity_id: r.n_core for r in udfs.normalised(job.raw(spark, str(tmp_path), "test", 2)).collect()}
+    assert plain["s2-9"] == "goldengarden" and plain["s2-0"] == "kamal house nalka bakery"
+    job.learn(spark, str(tmp_path), out, passes.Settings())
+    one, cand = job.sources(spark, str(tmp_path), "test", out)
+    a, b = ({r.entity_id: r.n_core for r in x.collect()} for x in (one, cand))
+    assert b["s2-9"] == "golden garden" == a["s1-9"] and b["s2-0"] == "kamala house nalka bakery" == a["s1-0"]
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/model/words").select("t", "u").collect()] == [("kamal", "kamala")]
+
+
+def test_splits_agree_with_the_whole_vocabulary(spark):
+    words = ["golden", "garden", "old", "gol", "den", "gar", "bakery", "bake", "ry", "limited"]
+    costs = {w: 1.0 + len(w) / 10 for w in words}
+    toks = ["goldengarden", "bakerylimited", "goldxgarden", "golden", "oldbakery", "gardenbakerylimitedold", "short"]
+    df = spark.createDataFrame([(t,) for t in toks], "tok string")
+    got = {r.tok: r.words for r in dictionary.splits(df, spark.createDataFrame(list(costs.items()), "word string, cost double")).collect()}
+    assert got == {t: " ".join(text.split_glued(t, costs)) for t in toks if text.split_glued(t, costs) != [t]}
+
+
 def test_features_of_equal_records():
     a = dict(n_norm="cafe noir limited", n_core="cafe noir", n_legal="limited", a_norm="12 main st", a_words="main st", a_nums="12 54321", indic=False, street="main", costs=[3.0, 4.0])
     f = dict(zip(rich.FEATURES, rich.pair_features(a, a)))

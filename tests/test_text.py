@@ -105,5 +105,5 @@ def test_covered():
 
 
 def test_alias_parts_are_read_by_themselves():
-    assert text.name_tokens("Smith J aka K Jones Foods") == ["smith", "j", "k", "jones", "foods"]
-    assert text.name_tokens("A B C dba D E Foods") == ["abc", "de", "foods"]
+    assert T.name_tokens("Smith J aka K Jones Foods") == ["smith", "j", "k", "jones", "foods"]
+    assert T.name_tokens("A B C dba D E Foods") == ["abc", "de", "foods"]

@@ -137,6 +137,15 @@ def name_tokens(raw: str | None, words: dict[str, str] | None = None, cost: dict
     return [w for t in toks for w in V.NAME_WORDS.get(t, t).split()]
 
 
+def pieces(raw: str) -> str:
+    """The alphanumeric pieces of a folded text."""
+    return " ".join(_PIECES.findall(fold(raw)))
+
+
+def canonical(toks: list[str]) -> str:
+    return " ".join(V.NAME_WORDS.get(t, t) for t in toks)
+
+
 def name_features(raw: str | None, words=None, cost=None) -> tuple[str, str, str]:
     """(n_norm, n_core, n_legal)."""
     toks = name_tokens(raw, words, cost)

@@ -36,14 +36,29 @@ def segmented(c: Column, cost: dict[str, float]) -> Column:
     return _strings(lambda s: " ".join(w for t in s.split() for w in text.split_glued(t, cost)))(c)
 
 
-@F.pandas_udf(_struct("n_norm", "n_core", "n_legal"))
-def name_features(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text.name_features(x) for x in s], columns=["n_norm", "n_core", "n_legal"])
+pieces = _strings(text.pieces)
 
 
-@F.pandas_udf(_struct("a_norm", "a_words", "a_nums"))
-def address_features(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text.address_features(x) for x in s], columns=["a_norm", "a_words", "a_nums"])
+@F.pandas_udf(T.StringType())
+def split_by(tok: pd.Series, known: pd.Series) -> pd.Series:
+    """Each token split into the known words that lie in it (a map of word to cost), in the names' own canonical words."""
+    return pd.Series([text.canonical(text.split_glued(t, dict(k))) for t, k in zip(tok, known)])
+
+
+def name_features(words: dict[str, str] | None = None):
+    @F.pandas_udf(_struct("n_norm", "n_core", "n_legal"))
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text.name_features(x, words) for x in s], columns=["n_norm", "n_core", "n_legal"])
+
+    return run
+
+
+def address_features(words: dict[str, str] | None = None):
+    @F.pandas_udf(_struct("a_norm", "a_words", "a_nums"))
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text.address_features(x, words) for x in s], columns=["a_norm", "a_words", "a_nums"])
+
+    return run
 
 
 def _pairs(f):
@@ -57,10 +72,11 @@ def _pairs(f):
 ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler = map(_pairs, (similarity.ratio, similarity.token_sort_ratio, similarity.token_set_ratio, similarity.partial_ratio, similarity.jaro_winkler))
 
 
-def normalised(raw, name: str = "business_name", address: str = "business_address", keep: tuple[str, ...] = ()):
+def normalised(raw, name: str = "business_name", address: str = "business_address", keep: tuple[str, ...] = (), words: dict[str, str] | None = None):
     """A raw source (see files.RAW) as normalised records: one Python pass for names and addresses; keep names columns
-    that go along."""
-    n, a = name_features(F.col(name)).alias("n"), address_features(F.col(address)).alias("a")
-    indic = F.coalesce(F.col(name), F.lit("")).rlike("[\\u0900-\\u0D7F]") | F.coalesce(F.col(address), F.lit("")).rlike("[\\u0900-\\u0D7F]")
-    d = raw.select(*keep, "entity_id", F.lower(F.trim("country")).alias("country"), n, a, indic.alias("indic")).select(*keep, "entity_id", "country", "n.*", "a.*", "indic")
+    that go along. words is a learned dictionary for Indic script. name_indic and indic tell where that script stood."""
+    n, a = name_features(words)(F.col(name)).alias("n"), address_features(words)(F.col(address)).alias("a")
+    in_name, in_address = (F.coalesce(c, F.lit("")).rlike("[\\u0900-\\u0D7F]") for c in (name, address))
+    cols = ["entity_id", F.lower(F.trim("country")).alias("country"), n, a, in_name.alias("name_indic"), (in_name | in_address).alias("indic")]
+    d = raw.select(*keep, *cols).select(*keep, "entity_id", "country", "n.*", "a.*", "name_indic", "indic")
     return d.withColumn("n_skel", skeletons(F.col("n_core")))

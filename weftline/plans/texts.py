@@ -119,10 +119,12 @@ def er_merge_initials(spark, d):
 
 @query()
 def er_segment(spark, d):
+    """Names written as one token, split by the vocabulary of all names."""
     rec = L.one(spark, d)
-    costs = dictionary.word_costs(rec, "n_core", sorted(V.LEGAL)).collect()  # words of at least three records
-    cost = {r.word: r.cost for r in costs}
-    return rec.select("eid", udfs.segmented(F.replace("n_core", F.lit(" "), F.lit("")), cost).alias("words"))
+    costs = dictionary.word_costs(rec, "n_core", sorted(V.LEGAL))
+    glued = rec.select("eid", F.replace("n_core", F.lit(" "), F.lit("")).alias("tok"))
+    found = dictionary.splits(glued.select("tok").distinct(), costs)
+    return glued.join(found, "tok", "left").select("eid", F.coalesce("words", "tok").alias("words"))
 
 
 @query()
@@ -233,7 +235,7 @@ def er_rich_checked(spark, d):
 
 
 def _passes(spark, d):
-    return passes.Passes(L.one(spark, d), L.cand(spark, d), L.truth(spark, d), passes.Settings(rounds=8))
+    return passes.Passes(L.one(spark, d), L.cand(spark, d), L.truth(spark, d))
 
 
 @query()
@@ -247,7 +249,7 @@ def er_pipeline_pass1(spark, d):
 def er_pipeline_pass2(spark, d):
     p = _passes(spark, d)
     p.first()
-    return match_lists(L.one(spark, d), context.decide(p.second(), "p", passes.Settings().later_least))
+    return match_lists(L.one(spark, d), context.decide(p.second(), "p", p.later_least))
 
 
 @query(f"WITH {L._RECS}, {L._PAIRS}, {L._decided(L.LEAST)} SELECT a.entity_id AS source1_entity_id, string_agg(b.entity_id, ',' ORDER BY b.entity_id) AS matched_entity_ids FROM decided JOIN r1 a ON a.eid = decided.eid JOIN r2 b ON b.eid = cid GROUP BY ALL")
