@@ -26,8 +26,8 @@ class Settings:
     least: float | None = None
     later_least: float | None = None
     sure: float = V.SURE
-    rounds_two: int = 60
-    rounds: int = 100
+    rounds_two: int = 40
+    rounds: int = 60
     depth_two: int = 5
     depth: int = 6
     prior: list[str] = field(default_factory=lambda: sorted(V.LEGAL) + [w for x in V.NAME_WORDS.values() for w in x.split()])
