@@ -90,6 +90,32 @@ def test_share_is_exact(spark):
     assert got == want and want[0] == 0 and want[10] >= 200
 
 
+def test_around_the_bound_of_hot_digests(spark):
+    """47, 48 and 49 holders, 4 and 5 repeats in one text, multi-byte runs of just over the bound in many texts."""
+    r = random.Random(8)
+    docs = []
+    for n in (47, 48, 49):
+        run = text(r, 203)
+        docs += [(len(docs), text(r, 30) + run[k % 5 : 200 + k % 4] + text(r, 30)) for k in range(n)]
+    for n in (4, 5):
+        run = text(r, 201)
+        docs += [(len(docs), "".join(text(r, 40) + run for _ in range(n))), (len(docs) + 1, text(r, 60) + run)]
+    run = text(r, 201, "漢字仮名交文")
+    docs += [(len(docs) + k, text(r, 60, "漢字仮名") + run[k % 3 :] + text(r, 60, "漢字仮名")) for k in range(52)]
+    assert found(spark, docs) == brute(docs, 200)
+
+
+def test_classes(spark):
+    r = random.Random(9)
+    run = text(r, 220)
+    x, y, z = (text(r, 50) + run + text(r, 50) for _ in range(3))
+    b, lone = text(r, 300), text(r, 400)
+    docs = [(5, x), (3, x), (7, y), (8, z), (9, lone), (10, "short"), (11, None), (12, b), (13, b)]
+    df = spark.createDataFrame([(d, t, 0, 0, "x") for d, t in docs + docs[:1]], SCHEMA)
+    got = sorted(tuple(q) for q in spans.shared_span_classes(df).collect())
+    assert got == [(3, 3, 2), (5, 3, 2), (7, 7, 2), (8, 8, 2), (9, 9, 0), (12, 12, 0), (13, 12, 0)]
+
+
 def test_bounds():
     with pytest.raises(ValueError):
         spans.SharedSpans(None, min_chars=10)

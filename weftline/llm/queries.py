@@ -65,7 +65,11 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_top8, p4_found, p4_organisations, p5_found, p5_locations, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared)}
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_span_classes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_top8, p4_found, p4_organisations, p5_found, p5_locations, p6_pack, p6_report, p7_mix, p7_shares, p8_found, p8_shared, p8_classes)}
 
 _TOP8 = """WITH best AS (SELECT eid, cid, max(bscore) AS bscore FROM train_scored WHERE bscore IS NOT NULL AND NOT isnan(bscore) GROUP BY eid, cid),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY eid ORDER BY bscore DESC, cid) AS INTEGER) AS rk FROM best)"""

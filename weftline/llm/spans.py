@@ -36,8 +36,10 @@ MIN_CHARS = 200
 HASH_BYTES = 16
 #: A digest with more holders, or more often in one text, is split by exact windows.
 HOT_HOLDERS, HOT_REPEATS = 48, 4
-#: Bytes that are hashed at once, and bits of the filter on texts to fetch (fixed, 128 KB).
-BLOCK_BYTES, FILTER_BITS = 1 << 20, 1 << 20
+#: Bytes that are hashed at once.
+BLOCK_BYTES = 1 << 20
+#: Bits of the filter on texts to fetch: a multiple of their number, from 16 KB to 4 MB. With more texts it lets more pass.
+BITS_FOR_A_TEXT, LEAST_BITS, MOST_BITS = 8, 1 << 17, 1 << 25
 
 _RNG = np.random.default_rng(20_240_501)
 GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -169,10 +171,12 @@ def _key_batches(min_chars: int, block_bytes: int):
 
 
 def _bits(ids: DataFrame) -> bytes:
-    """A Bloom filter of fixed size on a column of ids: made by the tasks, joined by the driver in FILTER_BITS / 8 bytes."""
+    """A filter of bounded size on a column of ids: made by the tasks, joined by the driver in MOST_BITS / 8 bytes at most."""
+    n = ids.agg(F.count_distinct(ids.columns[0])).collect()[0][0]
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_FOR_A_TEXT * n).bit_length()))
 
     def part(batches):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
             bits[b.column(0).to_numpy()] = True
         parts = np.packbits(bits).reshape(-1, 4096)
@@ -183,24 +187,24 @@ def _bits(ids: DataFrame) -> bytes:
         out = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]), axis=0)
         return pd.DataFrame({"at": [pdf["at"].iloc[0]], "bits": [out.tobytes()]})
 
-    rows = ids.select(_slot(F.col(ids.columns[0]))).mapInArrow(part, "bits binary, at long").groupBy("at").applyInPandas(join, "at long, bits binary").collect()
+    rows = ids.select(_slot(F.col(ids.columns[0]), size)).mapInArrow(part, "bits binary, at long").groupBy("at").applyInPandas(join, "at long, bits binary").collect()
     by = {r["at"]: bytes(r["bits"]) for r in rows}
-    return b"".join(by.get(i, bytes(4096)) for i in range(FILTER_BITS // 8 // 4096))
+    return b"".join(by.get(i, bytes(4096)) for i in range(size // 8 // 4096))
 
 
-def _slot(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("long")
+def _slot(c: Column, size: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(size)).cast("long")
 
 
 def _may_hold(bits: bytes, c: Column) -> Column:
-    slot = _slot(c)
+    slot = _slot(c, 8 * len(bits))
     byte = F.conv(F.hex(F.substring(F.lit(bits), (slot / 8).cast("int") + 1, 1)), 16, 10).cast("int")
     return byte.bitwiseAND(F.pow(F.lit(2), F.lit(7) - slot % 8).cast("int")) > 0
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc, rep): every text of a class of exact copies and the class's smallest id."""
-    ids = docs.select("doc", "md5")
+    ids = docs.select("doc", "md5").distinct()  # a row may be there twice
     reps = ids.groupBy("md5").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return ids.join(reps, "md5").select("doc", "rep")
 
@@ -212,14 +216,15 @@ class SharedSpans:
         if min_chars < 4 * HASH_BYTES or min_chars > 240:
             raise ValueError("min_chars is from 64 to 240")
         self.min_chars, self.reach = min_chars, reach_of(min_chars)
-        self.side = self.reach  # characters that a run may need beside a digest, at most
         text = F.col(text_col)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).filter(F.char_length("text") >= min_chars)
         tagged = self.docs.withColumn("md5", F.md5("text"))
         self.classes = cut(_classes(tagged), "copies")
         keys = tagged.select("doc", "text", F.unhex("md5").alias("md5")).mapInArrow(_key_batches(min_chars, block_bytes), "h long, doc long, p long")
-        w = Window.partitionBy("h")
-        many = keys.withColumn("lo", F.min("doc").over(w)).withColumn("hi", F.max("doc").over(w)).filter("lo < hi").select("h", "doc", "p")
+        keys = cut(keys, "digests")
+        # combined before the exchange, so a digest that all texts hold is one row for each task
+        two = keys.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
+        many = keys.join(two, "h", "left_semi")
         by_rep = many.join(self.classes, "doc", "left").select("h", F.coalesce("rep", "doc").alias("doc"), F.shiftright("p", 8).alias("pos"), F.col("p").bitwiseAND(F.lit(255)).alias("n"))
         self.shared = cut(by_rep.distinct(), "shared")
 
@@ -247,7 +252,7 @@ class SharedSpans:
         need = cut(sides.union(hot).distinct(), "need")
         bits = _bits(need.select("doc"))
         texts = self.docs.filter(_may_hold(bits, F.col("doc")))
-        side = F.lit(self.side)
+        side = F.greatest(F.lit(0), least - (F.col("stop") - F.col("pos")))  # what a run may need beside it
         from_ = F.greatest(F.lit(0), F.col("pos") - side)
         ctx = need.join(texts, "doc").select(
             "doc", "pos", "stop", (F.col("pos") - from_).cast("int").alias("off"),
@@ -404,6 +409,16 @@ def shared_span_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return s.pairs(s.links())
 
 
+def shared_span_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, class, links): one row for each text of min_chars or more: the smallest id among its exact copies, and how many other
+    classes have a run with it in common. Copies are not spelled out as pairs."""
+    s = SharedSpans(docs, id_col, text_col, min_chars)
+    links = s.links()
+    n = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("links"))
+    own = s.docs.select("doc").distinct().join(s.classes, "doc", "left").select(F.col("doc").alias(id_col), F.coalesce("rep", "doc").alias("class"))
+    return own.join(n, "class", "left").select(id_col, "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def shared_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, n_chars, shared_chars, share): how much of each text stands elsewhere, in runs of min_chars or more.
 
