@@ -132,3 +132,17 @@ def test_words():
     rare = match.Words(["alpha foods", "foods"]).rare_sketch(match.common_digests({"foods"}))
     assert (rare == match.Words(["alpha", "foods"]).sketch()).all()
     assert match.Words([]).n == 0
+
+
+def test_all_numbers_and_unknown_labels_count():
+    many = " ".join(map(str, range(100, 140)))
+    rec = match.Records(["alpha bakery"] * 3, ["main street town"] * 3, [many, "139", "7"], ["", "", ""], match.common_digests(set()), match.common_digests(set()))
+    a, b = rec.confidence(np.array([0, 0]), np.array([1, 2]))
+    assert a > 0.8 > b
+
+
+def test_unknown_country_label_separates_nothing(spark):
+    cols = "eid long, n_core string, a_words string, a_nums string, country string"
+    one = spark.createDataFrame([(1, "alpha bakery", "main st town", "5 12345", "us"), (2, "beta tools", "oak rd city", "7 54321", "us")], cols)
+    two = spark.createDataFrame([(11, "alpha bakery", "main st town", "5 12345", "U S of A"), (12, "beta tools", "oak rd city", "7 54321", "france")], cols)
+    assert [(r.eid, r.cid) for r in match.match(one, [two]).collect()] == [(1, 11)]

@@ -48,7 +48,7 @@ BLOCK_ROWS = 400
 #: What parts a sort key from the fields that only order equal keys, and the mark of rows in long runs.
 PART, LONG = "\x1f", -1
 
-#: Labels of one country.
+#: Labels of one country. Any other label is no evidence: it neither joins nor separates.
 COUNTRY_LABELS = {"us": "us", "usa": "us", "united states": "us", "in": "in", "india": "in", "bharat": "in", "fr": "fr", "france": "fr", "ca": "ca", "canada": "ca"}
 
 #: Numbers written as words.
@@ -192,11 +192,24 @@ class Records:
         self.name, self.rare = n.sketch(), n.rare_sketch(common)
         self.words, self.place = w.sketch(), w.rare_sketch(common_words)
         short = u.size < 5
+        # rows with more numbers than the arrays hold are compared as sets
+        parts = np.bincount(u.word_row[short], minlength=u.n), np.bincount(u.word_row[~short], minlength=u.n)
+        self.over = (parts[0] > self.MOST_NUMBERS) | (parts[1] > self.MOST_CODES)
+        self.sets: dict[int, tuple[set, set]] = {}
+        self.nums = nums
         self.house, self.code = u.numbers(short, self.MOST_NUMBERS), u.numbers(~short, self.MOST_CODES)
         c = Words(countries)
         self.country = np.zeros(c.n, np.uint64)
         self.country[c.word_row] = c.digests()
 
+    def _all_numbers(self, row: int) -> tuple[set, set]:
+        got = self.sets.get(row)
+        if got is None:
+            text = self.nums[row] if isinstance(self.nums, list) else self.nums[row].as_py()
+            own = text.split()
+            got = self.sets[row] = ({int(x) for x in own if len(x) < 5}, {x for x in own if len(x) >= 5})
+        return got
+
     def confidence(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of the pairs (i, j) of this batch's records: weighted similarities of name and place."""
         nd, no = sketch.dice_and_overlap(self.name[i], self.name[j])
@@ -209,6 +222,9 @@ class Records:
         both = (hi[:, 0] >= 0) & (hj[:, 0] >= 0)
         ci, cj = self.code[i], self.code[j]
         same_code = ((ci[:, :, None] == cj[:, None, :]) & (ci[:, :, None] >= 0)).any(axis=(1, 2))
+        for k in np.flatnonzero(self.over[i] | self.over[j]):
+            a, b = self._all_numbers(int(i[k])), self._all_numbers(int(j[k]))
+            shared[k], same_code[k] = bool(a[0] & b[0]), bool(a[1] & b[1])
         blank = (sketch.weight(self.words[i]) == 0) | (sketch.weight(self.words[j]) == 0)
         house = np.where(shared, 1.0, np.where(both, 0.0, 0.6))
         place = 0.35 * wo + 0.2 * np.maximum(pd_, wd) + 0.35 * house + 0.1 * np.where(same_code, 1.0, np.where((ci[:, 0] < 0) | (cj[:, 0] < 0), 0.7, 0.0))
@@ -241,7 +257,7 @@ def _keyed(common: dict[str, set[str]], bounds: list[tuple[int, str, int]]):
             scattered = scatter(b.column("eid").to_numpy())
             for i, (n, w, u, c, tie) in enumerate(zip(*[b.column(x).to_pylist() for x in ("n", "w", "u", "c")], scattered.tolist())):
                 house, code = house_and_code(w, u)
-                texts.append("\t".join(x.replace("\t", " ") for x in (n, w, " ".join(house + code), COUNTRY_LABELS.get(c, c.replace(" ", "_")))))
+                texts.append("\t".join(x.replace("\t", " ") for x in (n, w, " ".join(house + code), COUNTRY_LABELS.get(c.strip().lower(), ""))))
                 name = n.split()
                 if not name:
                     continue

@@ -70,8 +70,8 @@ def spread(node: Node, budget: float) -> None:
         spread(kid, part)
 
 
-def tree(leaves: list[tuple[str, str, float]], targets: dict[str, tuple[float, int]]) -> Node:
-    """leaves: (source, language, tokens)."""
+def tree(leaves: list[tuple[str, str, float]], targets: dict[str, tuple[float, int]], mark: str = "_") -> Node:
+    """leaves: (source, language, tokens). The domain of a source is its name up to the mark."""
     have: dict[str, float] = {}
     for s, _, n in leaves:
         have[s] = have.get(s, 0.0) + n
@@ -80,7 +80,7 @@ def tree(leaves: list[tuple[str, str, float]], targets: dict[str, tuple[float, i
     for s, lang, n, w in rows:
         room = n * targets[s][1]
         node = root
-        for step in (s.split("_")[0], lang, s):
+        for step in (s.split(mark)[0], lang, s):
             node.weight += w
             node.room += room
             node = node.kids.setdefault(step, Node(step))
@@ -130,7 +130,7 @@ def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 class Mix:
-    def __init__(self, docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1, vocab: str = tokens.VOCAB, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 1, vocab: str = tokens.VOCAB, id_col: str = "doc_id", text_col: str = "text", mark: str = "_"):
         self.id_col, self.spark = id_col, docs.sparkSession
         self.targets = targets_of(targets)
         sized = tokens.measured(docs.select(id_col, "source", "lang", text_col), id_col, text_col, ("source", "lang"), vocab)
@@ -140,7 +140,7 @@ class Mix:
         if len(rows) > MOST_LEAVES:
             raise ValueError(f"more than {MOST_LEAVES} leaves")
         have = [(r.source, r.lang, float(r.n)) for r in rows]
-        self.root = tree(have, self.targets)
+        self.root = tree(have, self.targets, mark)
         self.budget = feasible(self.root) if budget is None else min(float(budget), self.root.room)
         spread(self.root, self.budget)
         size = {(s, lang): int(n) for s, lang, n in have}
