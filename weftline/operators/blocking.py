@@ -151,7 +151,9 @@ class Blocking:
         self.c2 = cut(compound_keys(self.w2), "keys")
         self.c1 = weighted(compound_keys(self.w1), document_frequency(self.c2), sizes)
         self.probes = probe_keys(self.w1.unionByName(self.c1))
-        self.pairs = probe_pairs(self.probes, self.w2.select("eid", "country", "kt", "key").unionByName(self.c2))
+        # no key above the highest bound is looked up, so none such, however frequent, is shuffled
+        rare = self.w2.filter(F.col("df") <= max(V.MOST_DF, V.NAME_MOST_DF)).select("eid", "country", "kt", "key")
+        self.pairs = probe_pairs(self.probes, rare.unionByName(self.c2))
         self.top = top_candidates(self.pairs)
         self.scored = cosine(self.top, self.w1, self.w2)
         self.ranked = add_ranks(self.scored)
