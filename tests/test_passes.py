@@ -141,3 +141,19 @@ def test_registry():
     q, s = registry.queries(), registry.oracle_sql()
     assert registry.FLAGSHIP in q and set(s) <= set(q) and len(q) > 50
     assert len(V.ADDRESS_STOP) == 35
+
+
+def test_rich_features_of_few_pairs_are_spread_over_tasks(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    text_ = lambda: " ".join(word() for _ in range(4))
+    cols = "eid long, n_norm string, n_core string, n_legal string, a_norm string, a_words string, a_nums string, indic boolean, street string, costs array<double>"
+    side = lambda first: spark.createDataFrame([(first + i, x := text_(), x, "", y := text_(), y, str(i), False, y, [1.0] * 4) for i in range(400)], cols)
+    one, cand = side(0), side(1000)
+    pairs = spark.createDataFrame([(i, 1000 + (7 * i + k) % 400) for i in range(400) for k in range(3)], "eid long, cid long")
+    got = rich.rich_features(pairs, one, cand)
+    parts = got.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(parts) >= 4 and sum(p["count"] for p in parts) == 1200
+    a, b = ({x.eid: x.asDict() for x in d.collect()} for d in (one, cand))
+    for x in got.limit(50).collect():
+        assert tuple(x)[2:] == tuple(map(float, rich.pair_features(a[x.eid], b[x.cid])))

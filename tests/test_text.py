@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from weftline.functions import batch
 from weftline.functions import similarity as S
 from weftline.functions import text as T
 
@@ -104,6 +105,17 @@ def test_covered():
     assert S.covered([], ["a"]) == (0.0, [])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(texts, texts), max_size=8), st.sampled_from(["", "é😀\0", "".join(map(chr, range(1000, 1300)))]))
+def test_batches_give_the_same_numbers(pairs, more):
+    xs, ys = [x + more for x, _ in pairs], [y for _, y in pairs]
+    for many, each in ((batch.ratios, S.ratio), (batch.token_sort_ratios, S.token_sort_ratio), (batch.token_set_ratios, S.token_set_ratio), (batch.jaro_winklers, S.jaro_winkler), (batch.levenshteins, S.levenshtein)):
+        assert many(xs, ys).tolist() == [each(x, y) for x, y in zip(xs, ys)]
+    assert [v.tolist() for v in batch.ratios_and_partial(xs, ys)] == [[f(x, y) for x, y in zip(xs, ys)] for f in (S.ratio, S.partial_ratio)]
+    lists = [(x.split(), y.split()) for x, y in zip(xs, ys)]
+    assert batch.covered(lists) == [S.covered(*p) for p in lists]
+
+
 def test_alias_parts_are_read_by_themselves():
     assert T.name_tokens("Smith J aka K Jones Foods") == ["smith", "j", "k", "jones", "foods"]
     assert T.name_tokens("A B C dba D E Foods") == ["abc", "de", "foods"]
