@@ -50,6 +50,17 @@ def test_two_passes_end_to_end(spark):
     assert m.candidate_recall >= m.recall and m.perfect_f05 >= m.f05 and 0 <= m.precision <= 1
 
 
+def test_second_pass_computes_features_of_new_pairs_only(spark, monkeypatch):
+    one, cand, true = corpus(n=40)
+    p = passes.Passes(records(spark, one), records(spark, cand), spark.createDataFrame(true, "eid long, cid long"), passes.Settings(rounds_two=1, rounds=1, least=0.5, sure=0.5))
+    first, asked, real = p.first(), [], rich.rich_features
+    monkeypatch.setattr(rich, "rich_features", lambda pairs, *x: asked.append(pairs.select("eid", "cid")) or real(pairs, *x))
+    full = p.universe(first, p.stage3, p.ranked, p.one, p.cand)
+    assert asked[0].join(first, ["eid", "cid"]).isEmpty() and full.join(first, ["eid", "cid"]).count() == first.count() > 0
+    cols = ["eid", "cid", *rich.FEATURES]
+    assert sorted(full.select(cols).collect()) == sorted(real(full, p.one, p.cand).select(cols).collect())
+
+
 def test_job_over_raw_files(spark, tmp_path):
     for split, seed in (("train", 3), ("test", 4)):
         one, cand, true = corpus(seed, 50)
