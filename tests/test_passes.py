@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import fixed as V
 from weftline.functions import text, udfs
-from weftline.operators import context, dictionary, labels, model, passes, rich
+from weftline.operators import blocking, collective, context, dictionary, labels, model, passes, rich
 from weftline.plans import job, registry
 from weftline.sources import files
 from weftline.streaming import records as stream
@@ -61,6 +61,18 @@ def test_second_pass_computes_features_of_new_pairs_only(spark, monkeypatch):
     assert sorted(full.select(cols).collect()) == sorted(real(full, p.one, p.cand).select(cols).collect())
 
 
+def test_second_pass_takes_over_the_keys_of_candidates(spark, monkeypatch):
+    one, cand, true = corpus(n=40)
+    p = passes.Passes(records(spark, one), records(spark, cand), spark.createDataFrame(true, "eid long, cid long"), passes.Settings(rounds_two=1, rounds=1, least=0.5, sure=0.5))
+    sure = collective.confident(p.first(), "p3", 0.5)
+    again, made, real = collective.sibling_probe(sure, p.cand), [], blocking.single_keys
+    monkeypatch.setattr(blocking, "single_keys", lambda rec: made.append(rec) or real(rec))
+    got = collective.sibling_probe(sure, p.cand, known=p.blocks)
+    assert not made and sorted(got.collect()) == sorted(again.collect()) and got.count() > 0
+    p.universe(p.pass_one, p.stage3, p.ranked, p.one, p.cand, p.blocks)
+    assert not made
+
+
 def test_job_over_raw_files(spark, tmp_path):
     for split, seed in (("train", 3), ("test", 4)):
         one, cand, true = corpus(seed, 50)
